@@ -1,0 +1 @@
+"""Intentionally empty: no stream, watermark or stateful operator belongs to this library's scope."""
