@@ -41,8 +41,8 @@ SQL = {
         CAST(floor(max(dst)/16) AS BIGINT) AS track_b
         FROM lineage_edges GROUP BY sample_id, src HAVING count(DISTINCT dst)=2""",
     # cells 40 px apart drifting 1 px per frame: the best assignment is the identity
-    "cells": """SELECT 'g' AS sample_id, f.t AS t, p_partkey AS cell, 40.0*floor(p_partkey/10)+f.t AS y,
-        40.0*(p_partkey%10)+f.t AS x
+    "cells": """SELECT 'g' AS sample_id, f.t AS t, p_partkey AS cell, 40.0::DOUBLE*floor(p_partkey/10)+f.t AS y,
+        40.0::DOUBLE*(p_partkey%10)+f.t AS x
         FROM part CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5)) AS f(t)""",
     "runs": """SELECT o_orderkey AS run_id, o_custkey AS experiment_id,
         CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'processing' ELSE 'error' END AS status,
