@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import Spool, cut_lineage
 
 
 def find_divisions(edges: DataFrame) -> DataFrame:
@@ -61,27 +61,41 @@ def _mark(pairs: DataFrame):
 
 
 def descendants(tracks: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:
-    """(sample_id, root, track_id): every track below each root. One join per generation."""
+    """(sample_id, root, track_id): every track below each root. One join per generation.
+
+    A track has one parent, so no track is reached twice from a root; only a malformed table
+    can lead back to the root itself, and that step is dropped.
+    """
     children = tracks.where("parent_track_id IS NOT NULL").select(
         "sample_id", F.col("parent_track_id").alias("track_id"), F.col("track_id").alias("child"))
     level = cut_lineage(roots.select("sample_id", F.col("track_id").alias("root"), "track_id").distinct())
-    parts = [level] if include_self else []
-    seen = level
+    with_levels = Spool(tracks.sparkSession)
+    if include_self:
+        with_levels.append(level)
     while True:
-        step = level.join(children, ["sample_id", "track_id"]).select(
-            "sample_id", "root", F.col("child").alias("track_id")).distinct()
-        # a malformed table may loop: never walk a (root, track) twice
-        level = cut_lineage(step.join(seen, ["sample_id", "root", "track_id"], "left_anti"))
+        step = level.join(children, ["sample_id", "track_id"]).where("child <> root").select(
+            "sample_id", "root", F.col("child").alias("track_id"))
+        level = with_levels.append(step)
         if level.isEmpty():
             break
-        seen = seen.union(level)
-        parts.append(level)
-    if not parts:
-        return level
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return with_levels.read()
+
+
+def ancestors(tracks: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(sample_id, track_id, ancestor, hops) for all pairs, hops >= 1, by doubling the reach."""
+    reach = cut_lineage(tracks.where("parent_track_id IS NOT NULL").select(
+        "sample_id", "track_id", F.col("parent_track_id").alias("ancestor"), F.lit(1).alias("hops")))
+    span = 1
+    for _ in range(max_rounds):
+        ends = reach.where(F.col("hops") == span).select(
+            "sample_id", "track_id", F.col("ancestor").alias("_mid"))
+        onward = reach.select("sample_id", F.col("track_id").alias("_mid"), "ancestor", (F.col("hops") + span).alias("hops"))
+        further = cut_lineage(ends.join(onward, ["sample_id", "_mid"]).select("sample_id", "track_id", "ancestor", "hops"))
+        if further.isEmpty():
+            return reach
+        reach = cut_lineage(reach.unionByName(further))
+        span *= 2
+    raise RuntimeError("the parent column loops")
 
 
 def descendant_nodes(nodes: DataFrame, tracks: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:
@@ -93,59 +107,37 @@ def descendant_nodes(nodes: DataFrame, tracks: DataFrame, roots: DataFrame, incl
 def lineage_layout(tracks: DataFrame) -> DataFrame:
     """Vertical slot of each track: leaves 0, 1, 2... depth first, an inner track at its children's mean.
 
-    Level by level: leaf counts go up, slot starts come down, means go up.
+    Works on the ancestor pairs, not level by level: a leaf's slot is the sum, over itself and
+    its ancestors, of the leaves under earlier siblings; an inner slot is the mean of its leaves,
+    each weighted by the branching between the two.
     """
     from .ranking import cumulate
 
     key = ["sample_id", "track_id"]
     base = tracks.select(*key, F.col("parent_track_id").alias("parent"))
-    known = base.select("sample_id", F.col("track_id").alias("parent"))
-    roots = base.join(known, ["sample_id", "parent"], "left_anti").select(*key)
-    levels = [cut_lineage(roots.withColumn("parent", F.lit(None).cast("bigint")))]
-    while True:
-        up = levels[-1].select("sample_id", F.col("track_id").alias("parent"))
-        nxt = cut_lineage(base.join(up, ["sample_id", "parent"]).select(*key, "parent"))
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-
-    counts: list[DataFrame] = [None] * len(levels)
-    below = None
-    for g in reversed(range(len(levels))):
-        if below is None:
-            counts[g] = levels[g].withColumn("n_leaves", F.lit(1).cast("bigint"))
-        else:
-            sums = below.groupBy("sample_id", F.col("parent").alias("track_id")).agg(F.sum("n_leaves").alias("_n"))
-            counts[g] = levels[g].join(sums, key, "left").withColumn("n_leaves", F.coalesce("_n", F.lit(1))).drop("_n")
-        counts[g] = below = cut_lineage(counts[g])
-
-    # tree starts: running leaf counts over the roots of a sample; siblings: same inside a parent
-    first = cumulate(counts[0].select(*key, "n_leaves"), "track_id", ["n_leaves"], ["sample_id"])
-    start = cut_lineage(first.select(*key, F.col("n_leaves_before").alias("start")))
-    starts = [start]
-    siblings = W.partitionBy("sample_id", "parent").orderBy("track_id").rowsBetween(W.unboundedPreceding, -1)
-    for g in range(1, len(levels)):
-        above = starts[-1].select("sample_id", F.col("track_id").alias("parent"), F.col("start").alias("_s"))
-        shifted = counts[g].withColumn("_before", F.coalesce(F.sum("n_leaves").over(siblings), F.lit(0)))
-        starts.append(cut_lineage(shifted.join(above, ["sample_id", "parent"]).select(
-            *key, (F.col("_s") + F.col("_before")).alias("start"))))
-
-    placed = []
-    below = None
-    for g in reversed(range(len(levels))):
-        here = levels[g].join(starts[g], key)
-        if below is None:
-            here = here.withColumn("slot", F.col("start").cast("double"))
-        else:
-            means = below.groupBy("sample_id", F.col("parent").alias("track_id")).agg(F.avg("slot").alias("_m"))
-            here = here.join(means, key, "left").withColumn(
-                "slot", F.coalesce("_m", F.col("start").cast("double"))).drop("_m")
-        below = cut_lineage(here.select(*key, "parent", "slot"))
-        placed.append(below.select(*key, "slot"))
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.union(p)
-    return out
+    up = ancestors(tracks)
+    branching = base.where("parent IS NOT NULL").groupBy("sample_id", "parent").agg(F.count(F.lit(1)).alias("n_kids"))
+    shaped = base.join(branching.select("sample_id", F.col("parent").alias("track_id"), "n_kids"), key, "left").join(
+        branching.select("sample_id", "parent", F.col("n_kids").alias("n_sib")), ["sample_id", "parent"], "left")
+    pairs = up.select("sample_id", "track_id", "ancestor").unionByName(
+        base.select(*key, F.col("track_id").alias("ancestor")))
+    leaf_pairs = pairs.join(shaped.where("n_kids IS NULL").select(*key), key, "left_semi")
+    n_leaves = leaf_pairs.groupBy("sample_id", F.col("ancestor").alias("track_id")).agg(F.count(F.lit(1)).alias("n_leaves"))
+    sized = cut_lineage(shaped.join(n_leaves, key))
+    before = W.partitionBy("sample_id", "parent").orderBy("track_id").rowsBetween(W.unboundedPreceding, -1)
+    inner = sized.where("parent IS NOT NULL").withColumn("shift", F.coalesce(F.sum("n_leaves").over(before), F.lit(0)))
+    roots = cumulate(sized.where("parent IS NULL"), "track_id", ["n_leaves"], ["sample_id"]).withColumn(
+        "shift", F.col("n_leaves_before"))
+    own = ["sample_id", F.col("track_id").alias("ancestor"), "shift",
+           (-F.log(F.coalesce("n_sib", F.lit(1)).cast("double"))).alias("share")]
+    steps = inner.select(*own).unionByName(roots.select(*own))
+    placed = pairs.join(steps, ["sample_id", "ancestor"]).groupBy(*key).agg(
+        F.sum("shift").alias("start"), F.sum("share").alias("depth_weight"))
+    placed = cut_lineage(placed)
+    leaf = leaf_pairs.join(placed, key)
+    head = placed.select("sample_id", F.col("track_id").alias("ancestor"), F.col("depth_weight").alias("_w"))
+    return leaf.join(head, ["sample_id", "ancestor"]).groupBy("sample_id", F.col("ancestor").alias("track_id")).agg(
+        F.sum(F.col("start") * F.exp(F.col("depth_weight") - F.col("_w"))).alias("slot"))
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:

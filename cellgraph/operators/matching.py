@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import euclidean
-from ..session import cut_lineage
+from ..session import Spool, cut_lineage
 from .assignment import assign, pair_up
 from .graph import components
 from .spatial import FRAME, around, cell, near_pairs
@@ -180,7 +180,7 @@ def _global_in_pieces(points: DataFrame, radius: float, max_rounds: int = 40) ->
     row_side = F.when(F.col("na") <= F.col("nb"), F.lit(0)).otherwise(F.lit(1))
     state = cut_lineage(points.withColumn("is_row", F.col("side") == row_side).withColumn(
         "lv", F.lit(0)).select(*FRAME, "side", "id", "y", "x", "na", "nb", "is_row", "lv"))
-    done: list[DataFrame] = []
+    done = Spool(points.sparkSession)
     for _ in range(max_rounds):
         levels = [r[0] for r in state.where("is_row").select("lv").distinct().collect()]  # at most one per round
         sides = F.explode(F.array(*[F.struct(F.lit(k).alias("lv"), F.lit(radius * 2.0 ** k).alias("r")) for k in levels]))
@@ -221,10 +221,7 @@ def _global_in_pieces(points: DataFrame, radius: float, max_rounds: int = 40) ->
             .select(*FRAME, "side", "id", "y", "x", "na", "nb", "is_row", "lv"))
     else:
         raise RuntimeError("global assignment did not settle: coordinates span more than 2^40 radii")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return done.read()
 
 
 def match_greedy(prev: DataFrame, curr: DataFrame, max_distance: float, a_id: str = "a_id", b_id: str = "b_id",

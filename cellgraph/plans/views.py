@@ -101,6 +101,8 @@ def with_views(text: str) -> str:
     if not names:
         return body
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in names)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a block-manager copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Spool:
+    """Rounds of an iteration appended to one written table in the checkpoint folder.
+
+    Reading it back is a single scan, however many rounds there were.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+        self.rounds, self.schema = 0, None
+
+    def append(self, df: DataFrame) -> DataFrame:
+        part = f"{self.path}/round={self.rounds}"
+        self.schema = self.schema or df.schema
+        df.write.parquet(part)
+        self.rounds += 1
+        return self.spark.read.schema(self.schema).parquet(part)
+
+    def read(self) -> DataFrame:
+        paths = [f"{self.path}/round={i}" for i in range(self.rounds)]
+        return self.spark.read.schema(self.schema).parquet(*paths)
