@@ -18,7 +18,7 @@ from .assignment import assign, pair_up
 from .graph import components
 from .spatial import FRAME, around, cell, near_pairs
 
-MAX_PAIRS = 1_000_000  # largest frame (rows x columns) one task solves whole
+MAX_PAIRS = 25_000_000  # largest frame (rows x columns) one task solves whole: seconds, linear memory
 BUNDLE = 20_000  # points per Python call
 PAIR_COLUMNS = ["sample_id", "t", "a_id", "b_id", "distance"]
 PAIR_SCHEMA = "sample_id string, t int, a_id bigint, b_id bigint, distance double"
