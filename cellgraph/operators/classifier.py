@@ -70,8 +70,9 @@ def threshold_sweep(preds: DataFrame, thresholds: Sequence[float] = THRESHOLDS)
 def discrimination(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC (tie-aware rank form) and average precision per group; NULL without both classes."""
     by = list(by)
-    scores = preds.groupBy(*by, "probability").agg(F.count_if(_positive()).alias("pos"), F.count_if(_negative()).alias("neg"))
-    c = cumulate(scores, "probability", ["pos", "neg"], by, cut_points(preds, "probability"))
+    scores = cut_lineage(preds.groupBy(*by, "probability").agg(
+        F.count_if(_positive()).alias("pos"), F.count_if(_negative()).alias("neg")))
+    c = cumulate(scores, "probability", ["pos", "neg"], by)
     above_pos, above_neg = F.col("pos_total") - F.col("pos_before"), F.col("neg_total") - F.col("neg_before")
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
     ap = F.try_divide(F.col("pos") * above_pos, (above_pos + above_neg).cast("double"))

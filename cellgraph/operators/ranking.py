@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 MAX_BUCKETS = 256
 
 
@@ -70,12 +72,18 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
             .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-                      cuts: Sequence[float] | None = None) -> DataFrame:
-    """Linearly interpolated percentiles, one column per name in ``probs``; NULLs ignored."""
+def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated percentiles, one column per name in ``probs``; NULLs ignored.
+
+    The input is read once: its distinct values are written out, then sketched and ranked.
+    """
+    return percentiles_of_counts(cut_lineage(value_counts(df, value, by)), probs, by)
+
+
+def percentiles_of_counts(counts: DataFrame, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """As ``exact_percentiles``, from a table of distinct values (_v) with their counts (n)."""
     by = list(by)
-    limits = cut_points(df, value) if cuts is None else cuts
-    ranked = cumulate(value_counts(df, value, by), "_v", ["n"], by, limits)
+    ranked = cumulate(counts, "_v", ["n"], by)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
     picks = []
     for name, p in probs.items():
@@ -119,6 +127,5 @@ def rank_rows(df: DataFrame, value: str, tie: str, by: Sequence[str] = (), name:
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Distinct values with their 1-based average rank over the whole table."""
-    counts = value_counts(df, value)
-    ranked = cumulate(counts, "_v", ["n"], (), cut_points(df, value))
+    ranked = cumulate(cut_lineage(value_counts(df, value)), "_v", ["n"])
     return ranked.select(F.col("_v").alias(value), (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
