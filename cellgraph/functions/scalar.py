@@ -135,10 +135,15 @@ def parse_patch_name(filename) -> dict[str, Column]:
     }
 
 
+def micros(ts) -> Column:
+    """Microseconds since the epoch; a naive timestamp counts as session time (UTC)."""
+    return F.unix_micros(col(ts).cast("timestamp"))
+
+
 def relative_time(then, now) -> Column:
     """Human distance in time; the future counts as just now."""
     then, now = col(then), col(now)
-    secs = (F.unix_micros(now) - F.unix_micros(then)) / F.lit(1e6)
+    secs = (micros(now) - micros(then)) / F.lit(1e6)
 
     def unit(seconds: int, word: str) -> Column:
         n = F.floor(secs / seconds).cast("bigint")
