@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .views import Views, with_views
 
-FAMILIES = ("io", "points", "spatial", "matching", "lineage", "scoring", "classifier", "audits", "frames", "registry")
+FAMILIES = ("spatial", "io", "matching", "lineage", "scoring", "classifier", "audits", "frames", "registry")
 
 
 @dataclass(frozen=True)

@@ -204,7 +204,7 @@ def _(v):
     return named.select("p_partkey", *[c.alias(n) for n, c in scalar.parse_patch_name("f").items()])
 
 
-@query("basename", r"""SELECT page_id, CASE WHEN page_id%2=0 THEN regexp_extract(url,'([^/]*)$',1) ELSE regexp_extract(url,'([^/]*)$',1) END AS name FROM pages""")
+@query("basename", r"""SELECT page_id, regexp_extract(url,'([^/]*)$',1) AS name FROM pages""")
 def _(v):
     path = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.translate("url", "/", "\\"))
     return v.table("pages").select("page_id", scalar.basename(path).alias("name"))
