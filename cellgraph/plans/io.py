@@ -33,12 +33,11 @@ def _(v):
 
 def _xml(v):
     place = _place(v)
-    at = lambda n, c: F.concat(F.lit(f' {n}="'), F.col(c).cast("string"), F.lit('"'))
-    spots = v.lineage.select(F.concat(F.lit("<SpotsInFrame"), at("frame", "t"), F.lit("><Spot"), at("ID", "node_id"), at("POSITION_Y", "y"),
-                                      at("POSITION_X", "x"), F.lit("/></SpotsInFrame>")).alias("value"))
-    links = v.lineage_edges.select(F.concat(F.lit("<Edge"), at("SPOT_SOURCE_ID", "src"), at("SPOT_TARGET_ID", "dst"), F.lit("/>")).alias("value"))
-    spots.union(links).write.text(place)
-    return S.read_trackmate_xml(v.spark, place)
+    spot = F.array(F.struct(F.col("node_id").alias("_ID"), F.col("y").alias("_POSITION_Y"), F.col("x").alias("_POSITION_X")))
+    for tag, df in (("SpotsInFrame", v.lineage.select(F.col("t").alias("_frame"), spot.alias("Spot"))),
+                    ("Edge", v.lineage_edges.select(F.col("src").alias("_SPOT_SOURCE_ID"), F.col("dst").alias("_SPOT_TARGET_ID")))):
+        df.write.format("xml").option("rootTag", "Model").option("rowTag", tag).save(f"{place}/{tag}")
+    return S.read_trackmate_xml(v.spark, f"{place}/*")
 
 
 @query("read_trackmate_nodes", "SELECT node_id, t, round(y,6)+0.0 AS y, round(x,6)+0.0 AS x FROM lineage")
