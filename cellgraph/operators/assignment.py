@@ -8,16 +8,23 @@ from __future__ import annotations
 
 import numpy as np
 
+HELD_CELLS = 4_000_000  # up to this many distances are kept (32 MB); beyond, rows are computed when needed
+
 
 def assign(rows: np.ndarray, cols: np.ndarray, cap: float | None = None, penalty: float = 1e6):
     """Column of every row (-1 = none) and the row prices; needs len(rows) <= len(cols)."""
     n, m = len(rows), len(cols)
 
-    def cost(i: int) -> np.ndarray:
+    def fresh(i) -> np.ndarray:
         dy, dx = cols[:, 0] - rows[i, 0], cols[:, 1] - rows[i, 1]
         d = np.sqrt(dy * dy + dx * dx)
         return d if cap is None else np.where(d <= cap, d, penalty)
 
+    held = np.stack([fresh(i) for i in range(n)]) if 0 < n * m <= HELD_CELLS else None
+
+    def cost(i) -> np.ndarray:
+        return fresh(i) if held is None else held[i]
+
     price_row, price_col = np.zeros(n), np.zeros(m)
     col_of, row_of = np.full(n, -1), np.full(m, -1)
     for i in range(n):  # cheap start: a row takes its nearest column when that is free
@@ -26,24 +33,32 @@ def assign(rows: np.ndarray, cols: np.ndarray, cap: float | None = None, penalty
         price_row[i] = c[j]
         if row_of[j] < 0:
             col_of[i], row_of[j] = j, i
+    if m > 1:
+        _bid(cost, price_row, price_col, col_of, row_of)
     for start in np.flatnonzero(col_of < 0):
-        reach = cost(start) - price_row[start] - price_col
+        base = cost(start) - price_col
+        price_row[start] = base.min()
+        reach = base - price_row[start]
         via = np.full(m, start)
         closed = np.zeros(m, dtype=bool)
+        ahead = reach.copy()  # reach of the open columns, infinite once closed
         while True:
-            j = int(np.where(closed, np.inf, reach).argmin())
-            level = reach[j]
-            closed[j] = True
+            j = int(ahead.argmin())
+            level = ahead[j]
+            closed[j], ahead[j] = True, np.inf
             k = row_of[j]
             if k < 0:
                 break
-            step = level + cost(k) - price_row[k] - price_col
-            better = ~closed & (step < reach)
-            reach[better], via[better] = step[better], k
+            step = cost(k) - price_col
+            step += level - price_row[k]
+            better = step < ahead
+            better &= ~closed
+            reach[better] = ahead[better] = step[better]
+            via[better] = k
         slack = level - reach[closed]
         owners = row_of[closed]
-        held = owners >= 0
-        price_row[owners[held]] += slack[held]
+        owned = owners >= 0
+        price_row[owners[owned]] += slack[owned]
         price_col[closed] -= slack
         price_row[start] += level
         while True:  # flip the path
@@ -54,6 +69,36 @@ def assign(rows: np.ndarray, cols: np.ndarray, cap: float | None = None, penalty
     return col_of, price_row
 
 
+def _bid(cost, price_row, price_col, col_of, row_of, passes: int = 2) -> None:
+    """Free rows bid for their best column by the gap to the second best, outbidding its holder.
+
+    Prices stay dual feasible and free columns keep price 0, so the exact search can go on from here.
+    """
+    free = list(np.flatnonzero(col_of < 0))
+    for _ in range(passes):
+        todo, free, left = free, [], 4 * len(col_of)
+        while todo:
+            i = todo.pop()
+            left -= 1
+            c = cost(i) - price_col
+            j = int(c.argmin())
+            low = c[j]
+            c[j] = np.inf
+            other = int(c.argmin())
+            second = c[other]
+            if low < second:
+                price_col[j] -= second - low
+            elif row_of[j] >= 0:
+                j = other
+            k = row_of[j]
+            price_row[i], row_of[j], col_of[i] = second, i, j
+            if k >= 0:
+                col_of[k] = -1
+                (todo if low < second and left > 0 else free).append(k)
+        if not free:
+            return
+
+
 def pair_up(a: np.ndarray, b: np.ndarray, cap: float | None = None):
     """Index pairs (into a, into b) of the cheapest assignment of the smaller side."""
     if len(a) == 0 or len(b) == 0:

@@ -25,39 +25,46 @@ def gt_division_count(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Undirected components: (sample_id, node, component = smallest node id).
 
-    Alternating star contraction (Kiveris et al. 2014): each round groups by node and keeps
-    only minima, so a hub never collects its neighbours. Rounds grow with the logarithm of the
-    longest chain; each round is cut by a reliable checkpoint.
+    Every node hooks onto its least neighbour, pointers are doubled until flat, and the edges
+    are contracted to the roots; repeat while edges remain. Ids that grow along a track need one
+    round of log2(length) joins. A hub only contributes its minimum, never a neighbour list.
     """
     key = "sample_id"
-    loops = edges.select(key, "src", "dst")
-    nodes = loops.select(key, F.col("src").alias("node")).union(loops.select(key, F.col("dst"))).distinct()
-    pairs = loops.where("src <> dst").select(key, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    pairs = cut_lineage(pairs)
-    mark = _mark(pairs)
+    ends = edges.select(key, "src", "dst")
+    nodes = ends.select(key, F.col("src").alias("node")).union(ends.select(key, F.col("dst"))).distinct()
+    pairs = cut_lineage(ends.where("src <> dst").select(
+        key, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    label = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(key, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(key, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, [key, "u"]).select(key, F.col("v").alias("u"), F.col("m").alias("v"))
-        # what large-star leaves points downwards; small-star hooks the lower ends onto the least
-        large = large.where("u <> v").distinct()
-        least = large.groupBy(key, "u").agg(F.min("v").alias("m"))
-        hooked = large.join(least, [key, "u"])
-        small = hooked.select(key, F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.select(key, "u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = cut_lineage(small)
-        now = _mark(pairs)
-        if now == mark:
+        hooks = both.groupBy(key, F.col("u").alias("node")).agg(F.min("v").alias("m"))
+        flat = _flatten(cut_lineage(hooks.select(key, "node", F.least("node", "m").alias("root"))))
+        if label is None:
+            label = flat
+        else:
+            nxt = flat.select(key, F.col("node").alias("root"), F.col("root").alias("_r"))
+            label = cut_lineage(label.join(nxt, [key, "root"], "left").select(key, "node", F.coalesce("_r", "root").alias("root")))
+        side = lambda end, out: flat.select(key, F.col("node").alias(end), F.col("root").alias(out))
+        roots = pairs.join(side("u", "_u"), [key, "u"]).join(side("v", "_v"), [key, "v"]).where("_u <> _v")
+        pairs = cut_lineage(roots.select(key, F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct())
+        if pairs.isEmpty():
             break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-    return nodes.join(pairs.select(key, F.col("u").alias("node"), F.col("v").alias("_root")), [key, "node"], "left").select(
-        key, "node", F.coalesce("_root", "node").alias("component"))
+    return nodes.join(label, [key, "node"], "left").select(key, "node", F.coalesce("root", "node").alias("component"))
 
 
-def _mark(pairs: DataFrame):
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("sample_id", "u", "v").cast("decimal(38,0)"))).first())
+def _flatten(hooks: DataFrame) -> DataFrame:
+    """Pointers (node -> root) doubled until each points at a root; only unfinished rows are joined again."""
+    key = "sample_id"
+    state = hooks.withColumn("moved", F.col("node") != F.col("root"))
+    while True:
+        onward = state.select(key, F.col("node").alias("root"), F.col("root").alias("_far"))
+        jumped = state.where("moved").join(onward, [key, "root"]).select(
+            key, "node", F.col("_far").alias("root"), (F.col("_far") != F.col("root")).alias("moved"))
+        state = cut_lineage(jumped.unionByName(state.where("NOT moved")))
+        if state.where("moved").isEmpty():
+            return state.drop("moved")
 
 
 def descendants(tracks: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:

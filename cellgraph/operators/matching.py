@@ -51,7 +51,10 @@ def _sizes(both: DataFrame) -> DataFrame:
 def _in_bundles(points: DataFrame, keys: list[str], n_points: int, solve, schema: str) -> DataFrame:
     """Run ``solve(key, rows)`` per key. Small groups share a task call of about BUNDLE points,
     which saves one Python round trip per group; a group never leaves its bundle."""
-    bundles = max(1, -(-n_points // BUNDLE), points.sparkSession.sparkContext.defaultParallelism)
+    spark = points.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    bundles = max(-(-n_points // BUNDLE), 8 * cores)
+    tasks = min(bundles, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     inner = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +63,8 @@ def _in_bundles(points: DataFrame, keys: list[str], n_points: int, solve, schema
         return pd.concat(kept, ignore_index=True) if kept else parts[0]
 
     keyed = points.withColumn("_bundle", F.pmod(F.xxhash64(*keys), F.lit(bundles)))
-    return keyed.groupBy("_bundle").applyInPandas(run, schema)
+    # a fixed number of partitions: the rows are few, the work per row is not, so they must not be merged
+    return keyed.repartition(tasks, "_bundle").groupBy("_bundle").applyInPandas(run, schema)
 
 
 def _match_frames(both: DataFrame, solve, max_pairs: int, in_pieces) -> DataFrame:

@@ -48,36 +48,39 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, how: str = "inn
 
 
 def _extent(*frames: DataFrame) -> float:
-    """Largest coordinate span over the inputs: four numbers per input."""
-    lows, highs = [], []
-    for df in frames:
-        r = df.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
-        if r[0] is not None:
-            lows += [r[0], r[2]]
-            highs += [r[1], r[3]]
-    return max(highs) - min(lows) if lows else 0.0
+    """Largest coordinate span over the inputs: one small aggregate."""
+    both = frames[0].select("y", "x")
+    for df in frames[1:]:
+        both = both.union(df.select("y", "x"))
+    r = both.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    return max(r[1], r[3]) - min(r[0], r[2]) if r[0] is not None else 0.0
 
 
 def nearest_in_frame(cands: DataFrame, gt: DataFrame, key: str, radius: float = 8.0,
-                     gt_id: str = "gt_id") -> DataFrame:
+                     gt_id: str = "gt_id", extent: float | None = None) -> DataFrame:
     """Nearest ground-truth point of the same frame; ties go to the first id; NULLs in empty frames.
 
-    First pass: the 3x3 cells of side ``radius``; a hit within ``radius`` is final. The rest
-    probe a ladder of coarser grids, four times wider each. One stored point per cell gives
-    an upper bound, and the last search covers the finest grid whose block holds that bound.
+    ``key`` is unique in ``cands``. First pass: the 3x3 cells of side ``radius``; a hit within
+    ``radius`` is final. The rest probe a ladder of coarser grids, four times wider each. One stored
+    point per cell gives an upper bound, and the last search covers the finest grid whose block
+    holds that bound. ``extent`` (largest coordinate span) saves a scan when it is known.
     """
+    columns = cands.columns
     points = distinct_points(gt, gt_id).drop("w")
-    cand = cands.select(*FRAME, key, "y", "x")
+    gap = euclidean("y", "x", "gt_y", "gt_x")
+    # columns of a candidate travel along as grouping keys, so nothing has to be joined back
+    best = F.min(F.when(F.col("gt_id").isNotNull(), F.struct(gap.alias("distance"), "gt_id", "gt_y", "gt_x"))).alias("best")
+    probe = cands.withColumn("cy", cell("y", radius)).withColumn("cx", cell("x", radius)).alias("p")
     # explode the side without copies; candidates stay single rows
-    probe = cand.withColumn("cy", cell("y", radius)).withColumn("cx", cell("x", radius))
-    build = in_neighbour_cells(points, "gt_y", "gt_x", radius)
-    best = F.min(F.struct(
-        euclidean("y", "x", "gt_y", "gt_x").alias("distance"), "gt_id", "gt_y", "gt_x"))
-    hit = probe.join(build, [*FRAME, "cy", "cx"]).where(euclidean("y", "x", "gt_y", "gt_x") <= radius)
-    first = hit.groupBy(*FRAME, key, "y", "x").agg(best.alias("best"))
-    rest = cand.join(first.select(key), key, "left_anti")
-
-    span = max(_extent(cand, gt), radius)
+    build = in_neighbour_cells(points, "gt_y", "gt_x", radius).alias("b")
+    on = (euclidean("p.y", "p.x", "b.gt_y", "b.gt_x") <= radius)
+    for k in [*FRAME, "cy", "cx"]:
+        on = on & (F.col(f"p.{k}") == F.col(f"b.{k}"))
+    first = (probe.join(build, on, "left").select("p.*", "b.gt_id", "b.gt_y", "b.gt_x")
+             .groupBy(*columns).agg(best))
+    rest = first.where("best IS NULL").drop("best")
+
+    span = max(_extent(cands, gt) if extent is None else extent, radius)
     steps = max(1, math.ceil(math.log(span / radius, 4))) + 1
     sides = [radius * 4.0 ** i for i in range(1, steps + 1)]
     ladder = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(sides)]))
@@ -86,27 +89,32 @@ def nearest_in_frame(cands: DataFrame, gt: DataFrame, key: str, radius: float =
                        cell("gt_x", F.col("_l.s")).alias("cx"), "gt_id", "gt_y", "gt_x"))
     stored = leveled.groupBy(*FRAME, "lv", "cy", "cx").agg(F.min(F.struct("gt_y", "gt_x")).alias("one"))
     asked = (rest.withColumn("_l", ladder).withColumn("_o", around(1))
-             .select(*FRAME, key, "y", "x", F.col("_l.i").alias("lv"),
+             .select(*columns, F.col("_l.i").alias("lv"),
                      (cell("y", F.col("_l.s")) + F.col("_o.a")).alias("cy"),
                      (cell("x", F.col("_l.s")) + F.col("_o.b")).alias("cx")))
-    bound = (asked.join(stored, [*FRAME, "lv", "cy", "cx"])
-             .groupBy(*FRAME, key, "y", "x")
-             .agg(F.min(euclidean("y", "x", "one.gt_y", "one.gt_x")).alias("ub")))
+    bound = (asked.join(stored, [*FRAME, "lv", "cy", "cx"], "left")
+             .groupBy(*columns)
+             .agg(F.min(F.when(F.col("one").isNotNull(), euclidean("y", "x", "one.gt_y", "one.gt_x"))).alias("ub")))
     level = F.lit(len(sides) - 1)
     for i in reversed(range(len(sides) - 1)):
         level = F.when(F.col("ub") <= sides[i], F.lit(i)).otherwise(level)
     side = F.element_at(F.array(*[F.lit(s) for s in sides]), F.col("lv") + 1)
+    away = lambda v, c: F.greatest(F.lit(0.0), c * F.col("s") - F.col(v), F.col(v) - (c + 1) * F.col("s"))
     block = (bound.withColumn("lv", level).withColumn("s", side).withColumn("_o", around(1))
              .withColumn("cy", cell("y", F.col("s")) + F.col("_o.a"))
              .withColumn("cx", cell("x", F.col("s")) + F.col("_o.b")))
-    gap = lambda v, c: F.greatest(F.lit(0.0), c * F.col("s") - F.col(v), F.col(v) - (c + 1) * F.col("s"))
-    gy, gx = gap("y", F.col("cy")), gap("x", F.col("cx"))
-    block = block.where(F.sqrt(gy * gy + gx * gx) <= F.col("ub") * F.lit(1.0 + 1e-12)).drop("_o", "s")
-    far = (block.join(leveled, [*FRAME, "lv", "cy", "cx"]).where(euclidean("y", "x", "gt_y", "gt_x") <= F.col("ub"))
-           .groupBy(*FRAME, key, "y", "x").agg(best.alias("best")))
-    found = first.select(key, "best").unionByName(far.select(key, "best"))
-    return cands.join(found, key, "left").select(
-        *cands.columns, F.col("best.gt_id").alias("gt_id"), F.col("best.gt_y").alias("gt_y"),
+    gy, gx = away("y", F.col("cy")), away("x", F.col("cx"))
+    # cells beyond the bound cannot hold the nearest point; the home cell stays for frames without any point
+    home = (F.col("_o.a") == 0) & (F.col("_o.b") == 0)
+    block = block.where(home | (F.sqrt(gy * gy + gx * gx) <= F.col("ub") * F.lit(1.0 + 1e-12))).drop("_o", "s")
+    p, b = block.alias("p"), leveled.alias("b")
+    on = (euclidean("p.y", "p.x", "b.gt_y", "b.gt_x") <= F.col("p.ub"))
+    for k in [*FRAME, "lv", "cy", "cx"]:
+        on = on & (F.col(f"p.{k}") == F.col(f"b.{k}"))
+    far = (p.join(b, on, "left").select(*[F.col(f"p.{c}").alias(c) for c in columns], "b.gt_id", "b.gt_y", "b.gt_x")
+           .groupBy(*columns).agg(best))
+    return first.where("best IS NOT NULL").unionByName(far).select(
+        *columns, F.col("best.gt_id").alias("gt_id"), F.col("best.gt_y").alias("gt_y"),
         F.col("best.gt_x").alias("gt_x"), F.col("best.distance").alias("distance"))
 
 
