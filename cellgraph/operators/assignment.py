@@ -66,6 +66,9 @@ def assign(rows: np.ndarray, cols: np.ndarray, cap: float | None = None, penalty
             row_of[j], j, col_of[i] = i, col_of[i], j
             if i == start:
                 break
+    if n == m:  # all columns taken: the lowest admissible row prices
+        shift = price_col.max()
+        price_row += shift
     return col_of, price_row
 
 

@@ -70,8 +70,8 @@ def test_global_then_cut(spark, max_pairs):
 def test_crowded_path_grows_until_certified(spark):
     """A tiny starting radius must still reach the global optimum, also with unequal sides."""
     a, b, da, db = frames(spark, random.Random(8), 12)
-    whole = matching.match_global(da, db, 2.0).toPandas().sort_values(["t", "a_id"])
-    cut = matching.match_global(da, db, 2.0, max_pairs=0).toPandas().sort_values(["t", "a_id"])
+    whole = matching.match_global(da, db, 12.0).toPandas().sort_values(["t", "a_id"])
+    cut = matching.match_global(da, db, 12.0, max_pairs=0).toPandas().sort_values(["t", "a_id"])
     assert whole[["t", "a_id", "b_id"]].values.tolist() == cut[["t", "a_id", "b_id"]].values.tolist()
 
 
