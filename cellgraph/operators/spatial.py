@@ -208,9 +208,10 @@ def sample_negatives(frames: DataFrame, centers: DataFrame, seed: int, apart: fl
 
     ``frames``: sample_id, t, height, width. Too few accepted draws is an error, not a short answer.
     """
-    wanted = centers.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_pos"))
     # every wanted point is a row of its own before its draws, so a crowded frame is split over tasks
-    slots = (centers.select(*FRAME, F.xxhash64(F.col("y"), F.col("x"), F.lit(seed)).alias("slot")))
+    copies = centers.groupBy(*FRAME, "y", "x").agg(F.count(F.lit(1)).cast("int").alias("_n")).withColumn(
+        "_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    slots = copies.select(*FRAME, F.xxhash64(F.col("y"), F.col("x"), F.col("_k"), F.lit(seed)).alias("slot"))
     tries = slots.join(frames, FRAME).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     low = F.lit(margin)
     span = lambda size: F.col(size) - 2 * margin
@@ -218,7 +219,9 @@ def sample_negatives(frames: DataFrame, centers: DataFrame, seed: int, apart: fl
         *FRAME, "slot", "try",
         (low + F.floor(hashed_unit(*FRAME, "slot", "try", F.lit(seed), F.lit("y")) * span("height"))).cast("double").alias("y"),
         (low + F.floor(hashed_unit(*FRAME, "slot", "try", F.lit(seed), F.lit("x")) * span("width"))).cast("double").alias("x"))
-    points = points.dropDuplicates([*FRAME, "y", "x"])
+    # one place is drawn once: the least slot keeps it, so the answer does not depend on task order
+    points = points.groupBy(*FRAME, "y", "x").agg(F.min(F.struct("slot", "try")).alias("_s")).select(
+        *FRAME, "y", "x", "_s.slot", "_s.try")
     block = in_neighbour_cells(
         centers.select(*FRAME, F.col("y").alias("c_y"), F.col("x").alias("c_x")).distinct(), "c_y", "c_x", apart)
     keyed = points.withColumn("cy", cell("y", apart)).withColumn("cx", cell("x", apart))
@@ -228,10 +231,7 @@ def sample_negatives(frames: DataFrame, centers: DataFrame, seed: int, apart: fl
                   & (euclidean("p.y", "p.x", "b.c_y", "b.c_x") < apart), "left_anti")
     # one accepted draw per slot: bounded groups, no ranking over the whole frame
     chosen = free.groupBy(*FRAME, "slot").agg(F.min(F.struct("try", "y", "x")).alias("c"))
-    got = chosen.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_got"))
-    short = wanted.join(got, FRAME, "left").where(F.coalesce("n_got", F.lit(0)) < F.col("n_pos"))
-    checked = chosen.join(
-        short.groupBy(*FRAME).agg(F.first("n_pos").alias("_short")), FRAME, "left")
-    ok = F.when(F.col("_short").isNull(), F.col("c.y")).otherwise(
+    checked = slots.join(chosen, [*FRAME, "slot"], "left")
+    ok = F.when(F.col("c").isNotNull(), F.col("c.y")).otherwise(
         F.raise_error(F.lit("too few background points: raise draws or lower apart")).cast("double"))
     return checked.select(*FRAME, ok.alias("y"), F.col("c.x").alias("x"))

@@ -158,7 +158,8 @@ def patch_table(spark):
 def test_draws_and_splits(spark, patch_table):
     b = patches.balanced_sample(patch_table, "id", seed=1, n=2000).toPandas()
     assert len(b) == 2000 and abs(b.label.mean() - 0.5) < 0.06 and b[b.label == 1].id.nunique() > 30
-    assert b.equals(b) and patches.balanced_sample(patch_table, "id", seed=1, n=50).collect() == patches.balanced_sample(patch_table, "id", seed=1, n=50).collect()
+    again = [sorted(patches.balanced_sample(patch_table, "id", seed=1, n=50).select("draw", "id").collect()) for _ in range(2)]
+    assert again[0] == again[1]
     with pytest.raises(ValueError):
         patches.balanced_sample(patch_table.where("label = 0"), "id", seed=1)
     h = patches.holdout(patch_table, "id", 0.2, 3).toPandas()
@@ -170,7 +171,7 @@ def test_draws_and_splits(spark, patch_table):
 
 def test_augment_leaves_other_splits_alone(patch_table):
     out = patches.augment(patch_table, "id", 4, copies=2, seed=5).toPandas()
-    assert (out[out.split == "test"].copy_ if False else out[out.split == "test"]["copy"] == 0).all()
+    assert (out[out.split == "test"]["copy"] == 0).all()
     assert len(out[out.split == "train"]) == 3 * 150
     base = {r.id: np.array(r.pix) for r in patch_table.collect()}
     for r in out[out["copy"] > 0].head(20).itertuples():
