@@ -2,20 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-from . import likelihood_ratio
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..session import ensure_checkpoint_dir
+from . import likelihood_ratio, packing, set_join, temperature_mix, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op3_mix(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "documents").select("doc_id", "source", temperature_mix.word_tokens().alias("n_tokens"))
+    return temperature_mix.mix(rows, tokens=F.col("n_tokens"))
+
+
+def op5_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     trusted = likelihood_ratio.trusted_ids(_table(spark, folder, "labels"))
     return likelihood_ratio.score_quality(_table(spark, folder, "documents"), trusted).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {"op7_quality": op7_quality}
-SQL: dict[str, str] = {}
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _, _ = set_join.jaccard_join(_table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_mix, op5_pack, op7_quality, op9_warc, op10_jaccard)}
+SQL: dict[str, str] = {
+    "op3_mix": r"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+        s AS MATERIALIZED (SELECT source, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n FROM t GROUP BY source),
+        k AS MATERIALIZED (SELECT CAST(sum(n) AS DOUBLE) AS total, count(*) AS kinds, max(n) AS most, min(n) AS least, list(n) AS ns FROM s WHERE n > 0),
+        bis(i, low, high, total, kinds, ns) AS (
+          SELECT 0, greatest(0.0, 1.0 - ln(2.0)/ln(most/least)), 1.0::DOUBLE, total, kinds, ns FROM k
+          UNION ALL
+          SELECT i+1, CASE WHEN fine THEN middle ELSE low END, CASE WHEN fine THEN high ELSE middle END, total, kinds, ns FROM (
+            SELECT *, (low+high)/2 AS middle, ln(list_sum(list_transform(ns, lambda x: pow(x/total, (low+high)/2))))
+              - (low+high)/2 * list_sum(list_transform(ns, lambda x: pow(x/total, (low+high)/2)*ln(x/total)))
+                / list_sum(list_transform(ns, lambda x: pow(x/total, (low+high)/2))) >= 0.97*ln(kinds) AS fine FROM bis WHERE i < 30)),
+        a AS (SELECT CASE WHEN (SELECT most = least OR ln(total) - list_sum(list_transform(ns, lambda x: x*ln(x)))/total >= 0.97*ln(kinds) FROM k)
+          THEN 1.0 ELSE round(low, 6) END AS e FROM bis WHERE i = 30),
+        w AS (SELECT source, n, pow(n/(SELECT total FROM k), (SELECT e FROM a)) AS p FROM s WHERE n > 0),
+        b AS (SELECT source, n, CAST(round(p*(SELECT max(n/p) FROM w)) AS BIGINT) AS budget FROM w),
+        r AS (SELECT t.*, coalesce(budget // b.n, 1) AS whole, coalesce(budget % b.n, 0) AS rest FROM t LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source),
+        u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY md5('mix-1|' || (whole+1) || '|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, n_tokens
+          ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+        SELECT doc_id, source, n_tokens, CAST(unnest(range(1, whole + 1 + CAST(rest > 0 AND upto <= rest AS BIGINT))) AS BIGINT) AS epoch FROM u""",
+    "op9_warc": """WITH p AS (SELECT page_id, coalesce(html,'') AS html, CAST(strlen(coalesce(html,'')) AS BIGINT) AS payload_bytes FROM pages),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS largest FROM p)
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN largest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN largest <> page_id THEN largest END AS refers_to FROM m""",
+}
