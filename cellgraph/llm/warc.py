@@ -40,9 +40,11 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     told = pages.select("page_id", "url", html.alias("html")).withColumns(
         {"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.col("html").cast("binary"))})
-    groups = (told.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_bytes", "payload_digest")
-              .agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
-    both = told.join(groups, ["payload_bytes", "payload_digest"], "left")
+    keyed = told.withColumn("_key", F.unhex("payload_digest"))
+    # written first: Spark then knows its size, and joins without moving the payloads while it is small
+    groups = cut_lineage(keyed.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("_key", "payload_bytes")
+                         .agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    both = keyed.join(groups, ["_key", "payload_bytes"], "left").drop("_key")
     again = F.col("_largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_largest"))
     return both.withColumn("refers_to", F.when(again, F.col("_largest"))).drop("_largest")
 
