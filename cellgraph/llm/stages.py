@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import likelihood_ratio
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+from . import likelihood_ratio, packing, pii_lstm, set_join, temperature_mix
+from .common import text_of
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold the base rules and read like the trusted ones."""
-    trusted = likelihood_ratio.trusted_ids(_table(spark, sf_dir, "labels"))
-    return likelihood_ratio.score_quality(docs, trusted).where("kept").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return likelihood_ratio.score_quality(docs, likelihood_ratio.trusted_ids(labels)).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id, and of its repeated rows the first by text.
+
+    Documents without an id count as the largest ids, told apart by their texts; documents without words are in no group.
+    """
+    known = docs.withColumn("_id", F.coalesce("doc_id", F.lit(2 ** 62) + F.shiftrightunsigned(F.xxhash64(text_of()), 2)))
+    rows, _, _ = set_join.jaccard_join(known.select(F.col("_id").alias("doc_id"), "text"))
+    first = rows.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_words"))
+    placed = known.join(first, "_id")
+    alone = placed.where("_n = 1 OR _words = 0").select(*docs.columns)
+    several = placed.where("_n > 1 AND _words > 0")
+    one = several.groupBy("_id").agg(F.min(F.struct(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))).alias("_first"))
+    return alone.unionByName(one.select("_first._row.*"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind in brackets."""
+    return pii_lstm.redact(docs, pii_lstm.train(pii_lstm.training_texts(docs)))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, and sources below their target weight repeated up to the repetition limit."""
+    return temperature_mix.mix(docs).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequence and offset."""
+    return packing.pack_documents(docs)

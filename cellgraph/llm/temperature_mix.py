@@ -106,7 +106,7 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.97, max_repetition: fl
     shares = cut_lineage(source_shares(docs, tokens))
     plan = cut_lineage(source_budgets(shares, find_exponent(shares, target_entropy, max_repetition)))
     # hex digits that cut a source's order into ranges of about BLOCK_ROWS documents
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.lit(16.0), F.col("n_docs") / BLOCK_ROWS))).cast("int")
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n_docs") / BLOCK_ROWS))).cast("int")
     plan = plan.select(_key(), "whole", "rest", digits.alias("_digits"))
     told = docs.select(*names, tokens.alias("_n"), _key()).join(plan, _KEY)
     drawn = told.withColumn("_draw", _draw(F.col("whole") + 1)).withColumn("_block", F.substring("_draw", F.lit(1), F.col("_digits")))

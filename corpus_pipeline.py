@@ -12,6 +12,10 @@ from cellgraph.session import ensure_checkpoint_dir
 #: (name, function of spark, docs, sf_dir)
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("near_copies", stages.near_copies),
+    ("private_data", stages.private_data),
+    ("mixing", stages.mixing),
+    ("best_fit_packing", stages.best_fit_packing),
 ]
 #: SQL cannot express the personal-data stage; the tests hold the stages against plain versions.
 ORACLE_SQL = None
