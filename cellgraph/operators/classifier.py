@@ -225,10 +225,14 @@ def stratified_cases(preds: DataFrame, key: str, exclude: DataFrame | None = Non
 
 
 def reproduce_check(metrics: DataFrame, reported: DataFrame, tol: float = 1e-3) -> DataFrame:
-    """Metrics (sample_id, metric, value) that differ from the recorded ones, or miss a partner."""
-    both = metrics.join(reported.withColumnRenamed("value", "recorded"), ["sample_id", "metric"], "full_outer")
+    """Metrics (sample_id, metric, value) that differ from the recorded ones, or miss a partner row.
+
+    A metric without a value on either side has nothing to differ by.
+    """
+    mine, theirs = metrics.withColumn("_a", F.lit(1)), reported.withColumnRenamed("value", "recorded").withColumn("_b", F.lit(1))
+    both = mine.join(theirs, ["sample_id", "metric"], "full_outer")
     off = F.abs(F.col("value") - F.col("recorded")) > tol
-    return both.where(off | F.col("value").isNull() | F.col("recorded").isNull())
+    return both.where(off | F.col("_a").isNull() | F.col("_b").isNull()).drop("_a", "_b")
 
 
 def cross_validate(preds: DataFrame, manifest: DataFrame, split: DataFrame, key: str = "filename", wanted: str = "test") -> DataFrame:

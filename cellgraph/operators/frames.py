@@ -188,15 +188,15 @@ def frame_profile(pixels: DataFrame, box: tuple[int, int, int, int] | None = Non
         *FRAME, "min", "max", "mean", *[F.col("_p")[i].alias(n) for i, n in enumerate(("p1", "p99", "p995", "p999"))])
 
 
-def region_candidates(pixels: DataFrame, threshold: float, least: int = 10, most: int = 200, diagonal: bool = True) -> DataFrame:
+def region_candidates(pixels: DataFrame, threshold: float, least: int = 10, most: int = 200, diagonal: bool = False) -> DataFrame:
     """Connected bright regions with centroid, area and greatest value, for areas within limits.
 
-    Regions join over corners too unless ``diagonal`` is false.
+    Pixels join along edges; over corners too if ``diagonal`` is set.
     """
     bright = pixels.where(F.col("v") > threshold)
     key = F.concat_ws("\u0001", "sample_id", F.col("t").cast("string"))
-    # one number per pixel of a frame; coordinates stay below 2^24
-    node = F.col("y").cast("bigint") * (1 << 24) + F.col("x")
+    # one number per pixel of a frame, for every pair of int coordinates
+    node = F.col("y").cast("bigint") * (1 << 32) + F.col("x")
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
     moved = bright.withColumn("_m", moves).select(

@@ -8,38 +8,51 @@ stays exact: the limits only decide where the work is split.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 
-MAX_BUCKETS = 256
+#: Rows of one bucket, about; the number of buckets follows from it.
+BUCKET_ROWS = 250_000
 
 
-def bucket_count(df: DataFrame) -> int:
-    return min(MAX_BUCKETS, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+def bucket_count(df: DataFrame, rows: int) -> int:
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), rows // BUCKET_ROWS)
 
 
-def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles of a column, repeats kept (a repeat marks a heavy value)."""
-    n = buckets or bucket_count(df)
-    column = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+def sortable(df: DataFrame, name: str) -> Column:
+    """The column as a number that never decreases along its order; strings by six bytes after their common beginning."""
+    if dict(df.dtypes)[name] != "string":
+        return F.col(name).cast("double")
+    low, high = df.agg(F.min(name), F.max(name)).first()
+    low, high = (low or "").encode(), (high or "").encode()
+    shared = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    head = F.hex(F.substring(F.col(name).cast("binary"), shared + 1, 6))
+    return F.when(F.col(name).isNotNull(), F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double"))
+
+
+def cut_points(df: DataFrame, value: str | Column, buckets: int | None = None) -> list[float]:
+    """Approximate quantiles of a numeric column, repeats kept (a repeat marks a heavy value)."""
+    v = F.col(value).cast("double") if isinstance(value, str) else value
+    column = df.select(v.alias("v")).where("v IS NOT NULL")
+    n = buckets or bucket_count(df, column.count())
     return sorted(column.approxQuantile("v", [i / n for i in range(1, n)], 1.0 / (2 * n)))
 
 
 def bucket_of(value, cuts: Sequence[float]) -> Column:
-    """How many limits are <= value, as a balanced decision tree (generated code, log2 steps)."""
+    """How many limits are <= value: a binary search over them, for any number of limits."""
     v = F.col(value) if isinstance(value, str) else value
     limits = sorted(set(cuts))
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v < F.lit(limits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(limits))
+    if not limits:
+        return F.lit(0)
+    # one literal, however many limits; missing ends compare as false
+    table = F.from_json(F.lit(json.dumps(limits)), "array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(limits).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= v, at + s).otherwise(at))
 
 
 def cumulate(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
@@ -103,15 +116,18 @@ def rank_rows(df: DataFrame, value: str, tie: str, by: Sequence[str] = (), name:
     A heavy value gets buckets of its own, split again along the tie-breaker.
     """
     by = list(by)
-    limits = cut_points(df, value) if cuts is None else list(cuts)
-    heavy = sorted({c for c in limits if limits.count(c) > 1})
-    bucket = bucket_of(value, limits)
+    v = sortable(df, value)
+    limits = cut_points(df, v) if cuts is None else list(cuts)
+    heavy = sorted(c for c, n in Counter(limits).items() if n > 1)
+    bucket = bucket_of(v, limits)
     minor = F.lit(0)
-    if heavy:
+    # unequal strings may share a number: their ties cannot be split, unless the tie is the value itself
+    if heavy and (value == tie or dict(df.dtypes)[value] != "string"):
         # a heavy value starts its own bucket; what follows it moves one bucket up
-        bucket = bucket + F.coalesce(bucket_of(F.col(value), heavy) - F.col(value).isin(heavy).cast("int"), F.lit(0))
-        ties = cut_points(df.where(F.col(value).isin(heavy)), tie)
-        minor = F.when(F.col(value).isin(heavy), bucket_of(F.col(tie).cast("double"), ties)).otherwise(F.lit(0))
+        bucket = bucket + F.coalesce(bucket_of(v, heavy) - v.isin(heavy).cast("int"), F.lit(0))
+        same = df.where(v.isin(heavy))
+        place = sortable(same, tie)
+        minor = F.when(v.isin(heavy), bucket_of(place, cut_points(same, place))).otherwise(F.lit(0))
         if tie_descending:
             minor = -minor
     rows = df.withColumn("_b", bucket).withColumn("_m", minor)

@@ -204,12 +204,13 @@ def hashed_unit(*parts) -> Column:
 
 def sample_negatives(frames: DataFrame, centers: DataFrame, seed: int, apart: float = 20.0,
                      margin: int = 16, draws: int = 50) -> DataFrame:
-    """As many background points as centers in each frame, each ``apart`` from every center.
+    """A background point for each center whose crop fits the frame, each ``apart`` from every center.
 
     ``frames``: sample_id, t, height, width. Too few accepted draws is an error, not a short answer.
     """
     # every wanted point is a row of its own before its draws, so a crowded frame is split over tasks
-    copies = centers.groupBy(*FRAME, "y", "x").agg(F.count(F.lit(1)).cast("int").alias("_n")).withColumn(
+    fits = ((F.col("y") >= margin) & (F.col("x") >= margin) & (F.col("y") + margin < F.col("height")) & (F.col("x") + margin < F.col("width")))
+    copies = centers.join(frames.select(*FRAME, "height", "width"), FRAME).where(fits).groupBy(*FRAME, "y", "x").agg(F.count(F.lit(1)).cast("int").alias("_n")).withColumn(
         "_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     slots = copies.select(*FRAME, F.xxhash64(F.col("y"), F.col("x"), F.col("_k"), F.lit(seed)).alias("slot"))
     tries = slots.join(frames, FRAME).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(draws))))

@@ -247,10 +247,10 @@ def _(v):
     return A.parameter_sweep(det, v.gt, ["threshold"])
 
 
-@query("leakage", """SELECT sample_id, 'two_splits' AS problem FROM (SELECT l_suppkey AS sample_id, min(l_returnflag) AS a, max(l_returnflag) AS b FROM lineitem WHERE l_quantity>48 GROUP BY 1) WHERE a<>b
-UNION ALL SELECT DISTINCT l_suppkey, 'unknown_split' FROM lineitem WHERE l_quantity>48 AND l_returnflag NOT IN ('A','R')""")
+@query("leakage", """SELECT sample_id, 'two_splits' AS problem FROM (SELECT l_suppkey AS sample_id, min(l_returnflag) AS a, max(l_returnflag) AS b FROM lineitem GROUP BY 1) WHERE a<>b
+UNION ALL SELECT DISTINCT l_suppkey, 'unknown_split' FROM lineitem WHERE l_returnflag NOT IN ('A','R')""")
 def _(v):
-    s = v.table("lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("sample_id"), F.col("l_returnflag").alias("split"))
+    s = v.table("lineitem").select(F.col("l_suppkey").alias("sample_id"), F.col("l_returnflag").alias("split"))
     return A.leakage(s, ("A", "R"))
 
 

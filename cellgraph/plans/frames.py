@@ -110,7 +110,7 @@ def _(v):
 
 @query("region_candidates", f"""WITH RECURSIVE b AS (SELECT sample_id, t, y, x, v FROM ({FR}) WHERE v>0.08),
  walk AS (SELECT sample_id, t, y, x, y*8+x AS root FROM b UNION SELECT b.sample_id, b.t, b.y, b.x, w.root FROM walk w JOIN b
-   ON b.sample_id=w.sample_id AND b.t=w.t AND abs(b.y-w.y)<=1 AND abs(b.x-w.x)<=1),
+   ON b.sample_id=w.sample_id AND b.t=w.t AND abs(b.y-w.y)+abs(b.x-w.x)=1),
  l AS (SELECT sample_id, t, y, x, min(root) AS root FROM walk GROUP BY 1,2,3,4)
 SELECT l.sample_id, l.t, round(avg(l.y),6) AS y, round(avg(l.x),6) AS x, count(*) AS area, round(max(b.v),6) AS max_v
 FROM l JOIN b ON b.sample_id=l.sample_id AND b.t=l.t AND b.y=l.y AND b.x=l.x GROUP BY l.sample_id, l.t, l.root HAVING count(*) BETWEEN 2 AND 12""")

@@ -80,12 +80,13 @@ def _(v):
     return S.mask_centroids(px).withColumn("y", r6("y")).withColumn("x", r6("x"))
 
 
-@query("ctc_edges", """WITH n AS (SELECT sample_id, track_id AS label, t, node_id FROM lineage WHERE y<80),
+@query("ctc_edges", """WITH n AS (SELECT sample_id, track_id AS label, t+t//5 AS t, node_id FROM lineage),
  e AS (SELECT sample_id, label, min(node_id) AS first, max(node_id) AS last FROM n GROUP BY 1,2)
 SELECT sample_id, src, dst FROM (SELECT sample_id, node_id AS src, lead(node_id) OVER (PARTITION BY sample_id, label ORDER BY t) AS dst FROM n) WHERE dst IS NOT NULL
 UNION ALL SELECT f.sample_id, p.last, c.first FROM forest f JOIN e c ON c.label=f.track_id JOIN e p ON p.label=f.parent_track_id""")
 def _(v):
-    nodes = v.lineage.where("y < 80").select("sample_id", F.col("track_id").alias("label"), "t", "node_id")
+    # a frame is left out after every fifth
+    nodes = v.lineage.select("sample_id", F.col("track_id").alias("label"), F.expr("t + t DIV 5").alias("t"), "node_id")
     return S.ctc_edges(nodes, lineage.to_ctc_tracks(v.forest))
 
 

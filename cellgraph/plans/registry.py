@@ -108,12 +108,16 @@ def _(v):
     return K.single_default(_cfg(v)).select("config_id", "is_default", "n_flagged")
 
 
-@query("unknown_fields", """SELECT l_orderkey*10+l_linenumber AS change_id, f AS field FROM (SELECT *, unnest(['gaussian_sigma', l_returnflag, CASE WHEN l_linestatus='F' THEN 'pixel_size_um' ELSE 'colour' END]) AS f FROM lineitem)
-WHERE f NOT IN ('gaussian_sigma','pixel_size_um')""")
+_NAMES = "gaussian_sigma,detection_threshold,cell_radius,tracking_max_distance,division_max_distance,pixel_size_um,frame_interval_min,max_link_distance".split(",")
+
+
+@query("unknown_fields", f"""SELECT l_orderkey*10+l_linenumber AS change_id, f AS field FROM (SELECT *, unnest([{_NAMES}[1+l_suppkey%8], l_returnflag, CASE WHEN l_linestatus='F' THEN 'Cell_radius' ELSE 'colour' END]) AS f FROM lineitem)
+WHERE f NOT IN ({', '.join(f"'{n}'" for n in _NAMES[:-1])})""")
 def _(v):
-    second = F.when(F.col("l_linestatus") == "F", "pixel_size_um").otherwise("colour")
+    first = F.get(F.array(*map(F.lit, _NAMES)), (F.col("l_suppkey") % 8).cast("int"))
+    second = F.when(F.col("l_linestatus") == "F", "Cell_radius").otherwise("colour")
     changes = v.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change_id"), F.create_map(
-        F.lit("gaussian_sigma"), F.lit("1"), F.col("l_returnflag"), F.lit("1"), second, F.lit("1")).alias("fields"))
+        first, F.lit("1"), F.col("l_returnflag"), F.lit("1"), second, F.lit("1")).alias("fields"))
     return K.unknown_fields(changes)
 
 

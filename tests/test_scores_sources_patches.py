@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -201,3 +202,39 @@ def test_auc_of_one_class_is_null(spark):
 def test_limit_frames_drops_cut_edges(spark):
     kept, inside = lineage.limit_frames(node_table(spark, NODES), edge_table(spark, EDGES), 2)
     assert kept.count() == 2 and [(r.src, r.dst) for r in inside.collect()] == [(1, 2)]
+
+
+def test_string_keys_rank_and_balance(spark):
+    from cellgraph.operators import patches, ranking
+
+    rng = random.Random(8)
+    rows = [("s", f"patch_{rng.randint(0, 10 ** 6):07d}", rng.choice([1.0, 1.0, 1.0, 2.0, 7.5])) for _ in range(400)] + [("s", "é", 1.0), ("s", "", 1.0)]
+    df = spark.createDataFrame(rows, "sample_id string, key string, v double").dropDuplicates(["key"])
+    data = [tuple(r) for r in df.collect()]
+    got = {r.key: r["rank"] for r in ranking.rank_rows(df, "v", "key").collect()}
+    assert got == {k: i for i, (_, k, _) in enumerate(sorted(data, key=lambda r: (r[2], r[1].encode())))}
+    got = {r.key: r["rank"] for r in ranking.rank_rows(df, "key", "key").collect()}
+    assert got == {k: i for i, k in enumerate(sorted((r[1] for r in data), key=str.encode))}
+
+
+def test_reproduce_check_needs_values_or_a_missing_row(spark):
+    from cellgraph.operators import classifier
+
+    mine = spark.createDataFrame([("a", "m", 1.0), ("a", "n", None), ("b", "m", 2.0), ("c", "m", 1.0)], "sample_id string, metric string, value double")
+    theirs = spark.createDataFrame([("a", "m", 1.5), ("a", "n", None), ("c", "m", 1.0), ("d", "m", None)], "sample_id string, metric string, value double")
+    assert sorted(r.sample_id for r in classifier.reproduce_check(mine, theirs).collect()) == ["a", "b", "d"]
+
+
+def test_regions_join_along_edges(spark):
+    from cellgraph.operators import frames
+
+    px = spark.createDataFrame([("s", 0, y, x, 1.0) for y, x in ((0, 0), (0, 1), (1, 2), (2, 2), (-1, 70000))], "sample_id string, t int, y int, x int, v double")
+    assert sorted(r.area for r in frames.region_candidates(px, 0.5, 1, 9).collect()) == [1, 2, 2]
+    assert sorted(r.area for r in frames.region_candidates(px, 0.5, 1, 9, diagonal=True).collect()) == [1, 4]
+
+
+def test_settings_names(spark):
+    from cellgraph.operators import registry
+
+    log = spark.createDataFrame([(1, {n: "1" for n in (*registry.FIELDS, "max_link_distance")})], "change_id int, fields map<string,string>")
+    assert [r.field for r in registry.unknown_fields(log).collect()] == ["max_link_distance"]
