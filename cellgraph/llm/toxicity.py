@@ -91,7 +91,7 @@ def one_of_each(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least: float = 35.0) -> dict[str, float]:
+def learn_lexicon(rows: list[tuple[str, int]], least: float = 24.0) -> dict[str, float]:
     """Terms far more frequent (by documents) in toxic rows: term -> log ratio. least: smallest log-likelihood ratio."""
     toxic, clean = Counter(), Counter()
     rows = one_of_each(rows)
