@@ -11,7 +11,7 @@ from ..functions import arrays
 from ..functions.scalar import PATCH_SIDE, fits_frame
 from ..session import cut_lineage
 from .ranking import exact_percentiles, rank_rows
-from .spatial import FRAME, hashed_unit
+from .spatial import FRAME, hashed_number, hashed_unit
 
 # Fixed values of the normalisation and augmentation contract.
 MAD_SCALE = 1.4826
@@ -125,7 +125,7 @@ def score_patches(patches: DataFrame, model: Callable[[], Callable[[np.ndarray],
 def _ordered(df: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows in a seeded random order: column ``rank`` from 0, plus the group size ``n``."""
     by = list(by)
-    mixed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
+    mixed = df.withColumn("_h", hashed_number(F.lit(seed), key))
     ranked = rank_rows(mixed, "_h", key, by, "rank").drop("_h")
     size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return ranked.join(size, by) if by else ranked.join(F.broadcast(size))  # one row
@@ -134,7 +134,7 @@ def _ordered(df: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> Data
 def split_samples(samples: DataFrame, seed: int, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Whole samples to train, val and test; counts are rounded half to even, the rest is test."""
     ids = samples.select("sample_id").distinct()
-    o = _ordered(ids.withColumn("_k", F.xxhash64("sample_id")), "_k", seed)
+    o = _ordered(ids, "sample_id", seed)
     n_train = F.least(F.bround(F.lit(train) * F.col("n"), 0), F.col("n"))
     n_val = F.least(F.bround(F.lit(val) * F.col("n"), 0), F.col("n") - n_train)
     return o.select("sample_id", F.when(F.col("rank") < n_train, "train").when(F.col("rank") < n_train + n_val, "val")
@@ -154,7 +154,7 @@ def balanced_sample(patches: DataFrame, key: str, seed: int, n: int | None = Non
         raise ValueError(f"balanced draws need two classes, found {sorted(sizes)}")
     total = n or sum(sizes.values())
     labels = sorted(sizes)
-    mix = lambda tag: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(tag)), F.lit(1 << 40))
+    mix = lambda tag: hashed_number("id", F.lit(seed), F.lit(tag))
     pick = F.get(F.array(*[F.lit(k) for k in labels]), F.pmod(mix("class"), F.lit(len(labels))).cast("int"))
     size = F.get(F.array(*[F.lit(sizes[k]) for k in labels]), F.pmod(mix("class"), F.lit(len(labels))).cast("int"))
     draws = patches.sparkSession.range(total).select(F.col("id").alias("draw"), pick.alias("label"), F.pmod(mix("row"), size).alias("rank"))

@@ -197,9 +197,15 @@ def division_candidates(nodes: DataFrame, targets: DataFrame, window: float = 20
                     euclidean("y", "x", "case_y", "case_x").alias("distance")))
 
 
+def hashed_number(*parts) -> Column:
+    """Deterministic number below 2^48: the first 12 hex digits of the md5 of the parts, joined by `|`."""
+    text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+
 def hashed_unit(*parts) -> Column:
     """Deterministic number in [0, 1) from the given columns."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return hashed_number(*parts) / F.lit(float(1 << 48))
 
 
 def sample_negatives(frames: DataFrame, centers: DataFrame, seed: int, apart: float = 20.0,

@@ -69,7 +69,8 @@ def _(v):
     return J.detect(_frames(v), grid=[(s, t, d) for s in (0.5, 1.0) for t in (0.02, 0.05) for d in (1, 2)])
 
 
-@query("detect_with_user_detector")
+@query("detect_with_user_detector", f"""SELECT sample_id, t, 1.0::DOUBLE AS sigma, 0.1::DOUBLE AS threshold, 1 AS min_distance, 0 AS idx, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x
+FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, t ORDER BY v DESC, y, x) AS rn FROM ({FR})) WHERE rn=1 AND v>0.1""")
 def _(v):
     import numpy as np
 
@@ -190,17 +191,29 @@ def _(v):
     return _r(P.robust_eps(_patches(v)), "median_std", "eps")
 
 
-@query("split_samples")
+_DRAW = "CAST('0x' || substr(md5({}),1,12) AS BIGINT)"
+
+
+@query("split_samples", f"""WITH o AS (SELECT c_name AS sample_id, row_number() OVER (ORDER BY {_DRAW.format("'11|' || c_name")}, c_name)-1 AS r, count(*) OVER () AS n
+ FROM (SELECT DISTINCT c_name FROM customer))
+SELECT sample_id, CASE WHEN r<round_even(0.7*n,0) THEN 'train' WHEN r<round_even(0.7*n,0)+round_even(0.15*n,0) THEN 'val' ELSE 'test' END AS split FROM o""")
 def _(v):
     return P.split_samples(v.table("customer").select(F.col("c_name").alias("sample_id")), seed=11)
 
 
-@query("holdout")
+_LABELLED = "SELECT vec_id, CAST(label>=5 AS INT) AS label FROM embeddings"
+
+
+@query("holdout", f"""SELECT vec_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_DRAW.format("'3|' || vec_id")}, vec_id)-1
+ < round_even(0.2*count(*) OVER (PARTITION BY label),0) THEN 'val' ELSE 'train' END AS part FROM ({_LABELLED})""")
 def _(v):
     return P.holdout(_patches(v), "vec_id", 0.2, seed=3).select("vec_id", "label", "part")
 
 
-@query("balanced_sample")
+@query("balanced_sample", f"""WITH p AS ({_LABELLED}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS k FROM p),
+ s AS (SELECT label, count(*) AS n FROM p GROUP BY 1),
+ d AS (SELECT id AS draw, CAST({_DRAW.format("id || '|5|class'")}%2 AS INT) AS label, {_DRAW.format("id || '|5|row'")} AS u FROM (SELECT unnest(range(0,(SELECT count(*) FROM p))) AS id))
+SELECT d.draw, d.label, r.vec_id FROM d JOIN s ON s.label=d.label JOIN r ON r.label=d.label AND r.k=d.u%s.n""")
 def _(v):
     return P.balanced_sample(_patches(v), "vec_id", seed=5).select("draw", "label", "vec_id")
 

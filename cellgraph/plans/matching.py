@@ -112,7 +112,10 @@ def _(v):
     return lineage.canonical_ids(det, matching.build_links(det, 25.0, 30.0))
 
 
-@query("link_with_user_matcher")
+@query("link_with_user_matcher", """WITH p AS (SELECT b.sample_id, b.t, a.det_id AS i, b.det_id AS j, sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS d
+ FROM det a JOIN det b ON a.sample_id=b.sample_id AND b.t=a.t+1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, t, i ORDER BY d, j) AS ri, row_number() OVER (PARTITION BY sample_id, t, j ORDER BY d, i) AS rj FROM p)
+SELECT sample_id, t, i AS prev_idx, j AS curr_idx, round(d,6) AS distance FROM r WHERE ri=1 AND rj=1 AND d<=25""")
 def _(v):
     import numpy as np
 
@@ -121,4 +124,4 @@ def _(v):
         back = d.argmin(axis=0)
         return [(i, j) for i, j in enumerate(d.argmin(axis=1)) if back[j] == i and d[i, j] <= 25.0]
 
-    return matching.link_frames(_det(v), matcher=nearest_mutual, max_pairs=50_000_000)
+    return matching.link_frames(_det(v), matcher=nearest_mutual, max_pairs=50_000_000).withColumn("distance", r6("distance"))
