@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -87,15 +88,20 @@ def _thin(yx: np.ndarray, v: np.ndarray, d: int) -> np.ndarray:
     return np.array(keep, dtype=int)
 
 
-def find_peaks(image: np.ndarray, sigma: float, threshold: float, d: int) -> np.ndarray:
-    """Peaks of one frame, brightest first: smooth, compare with the box maximum, thin."""
+def find_peaks(image: np.ndarray, sigma: float, threshold: float, d: int, truncate: bool = False) -> np.ndarray:
+    """Peaks of one frame, brightest first: smooth, compare with the box maximum, thin.
+
+    ``truncate`` drops fractions after each smoothing pass, as integer images do.
+    """
     w = np.array(gaussian_weights(sigma)) if sigma > 0 else np.ones(1)
     r = len(w) // 2
     out = image.astype(np.float64)
     for axis in (0, 1):
         pad = [(r, r) if a == axis else (0, 0) for a in (0, 1)]
         wide = np.pad(out, pad, mode="symmetric")
-        out = np.apply_along_axis(lambda line: np.convolve(line, w, mode="valid"), axis, wide)
+        n = image.shape[axis]
+        out = sum(c * (wide[k:k + n] if axis == 0 else wide[:, k:k + n]) for k, c in enumerate(w))
+        out = np.trunc(out) if truncate else out
     box = np.pad(out, d, mode="constant", constant_values=-np.inf)
     box = np.lib.stride_tricks.sliding_window_view(box, 2 * d + 1, axis=0).max(axis=-1)
     box = np.lib.stride_tricks.sliding_window_view(box, 2 * d + 1, axis=1).max(axis=-1)
@@ -109,16 +115,39 @@ def find_peaks(image: np.ndarray, sigma: float, threshold: float, d: int) -> np.
 DETECTED = "sample_id string, t int, sigma double, threshold double, min_distance int, idx int, y double, x double"
 
 
-def detect(frames: DataFrame, sigma=SIGMA, threshold=THRESHOLD, min_distance=MIN_DISTANCE,
-           grid: list[tuple[float, float, int]] | None = None, detector: Callable | None = None) -> DataFrame:
+def frames_of_pixels(pixels: DataFrame) -> DataFrame:
+    """One row per frame (sample_id, t, height, width, pix), pixels row by row; absent pixels are 0."""
+    size = pixels.groupBy(*FRAME).agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"),
+                                      F.array_sort(F.collect_list(F.struct("y", "x", F.col("v").cast("double").alias("v")))).alias("_p"))
+
+    def fill(batches):
+        for pdf in batches:
+            out = []
+            for h, w, px in zip(pdf["height"], pdf["width"], pdf["_p"]):
+                image = np.zeros((h, w))
+                image[[p["y"] for p in px], [p["x"] for p in px]] = [p["v"] for p in px]
+                out.append(image.ravel())
+            yield pdf[[*FRAME, "height", "width"]].assign(pix=out)
+
+    dense = F.size("_p") == F.col("height") * F.col("width")
+    given = size.where(dense).select(*FRAME, "height", "width", F.transform("_p", lambda p: p["v"]).alias("pix"))
+    return given.unionByName(size.where(~dense).mapInPandas(fill, given.schema))
+
+
+def detect(frames: DataFrame, sigma=SIGMA, threshold: float | str = THRESHOLD, min_distance=MIN_DISTANCE, grid: list[tuple[float, float, int]] | None = None,
+           detector: Callable | None = None, truncate: bool = False) -> DataFrame:
     """Detections of each frame (sample_id, t, height, width, pix) for one or many settings.
 
+    ``threshold`` may name a column of ``frames``: every frame then has its own (see ``frame_threshold``).
+    ``truncate`` treats the images as integers.
+
     Frames stay on their partition; a parameter grid multiplies rows, so it runs as one job.
     ``detector(image, sigma, threshold, min_distance) -> N x 2`` replaces the built-in one.
     """
     settings = grid or [(sigma, threshold, min_distance)]
-    find = detector or find_peaks
-    options = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.lit(float(t)).alias("threshold"),
+    find = detector or partial(find_peaks, truncate=truncate)
+    level = lambda t: F.col(t).cast("double") if isinstance(t, str) else F.lit(float(t))
+    options = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("sigma"), level(t).alias("threshold"),
                                            F.lit(int(d)).alias("min_distance")) for s, t, d in settings]))
     rows = frames.select(*FRAME, "height", "width", "pix", options.alias("_o")).select(
         *FRAME, "height", "width", "pix", "_o.*")

@@ -64,9 +64,31 @@ def _(v):
     return J.detect(_frames(v), 1.0, 0.02, 2).select("sample_id", "t", "y", "x")
 
 
-@query("detect_grid")
+def _peaks(smooth, sigma, threshold, d):
+    return f"""SELECT p.sample_id, p.t, {sigma}::DOUBLE AS sigma, {threshold}::DOUBLE AS threshold, {d} AS min_distance, CAST(p.y AS DOUBLE) AS y, CAST(p.x AS DOUBLE) AS x
+ FROM {smooth} p JOIN {smooth} q ON p.sample_id=q.sample_id AND p.t=q.t AND abs(p.y-q.y)<={d} AND abs(p.x-q.x)<={d}
+ WHERE p.v>{threshold} AND p.y BETWEEN {d} AND {7 - d} AND p.x BETWEEN {d} AND {7 - d} GROUP BY p.sample_id, p.t, p.y, p.x, p.v HAVING p.v>=max(q.v)"""
+
+
+_WIDE = SMOOTH.replace('round(sum(a.v*m.w),6)+0.0', 'sum(a.v*m.w)')
+_HALF = _WIDE.replace("range(-4,5)", "range(-2,3)").replace("-0.5*k*k", "-2.0*k*k").replace("-0.5*j*j", "-2.0*j*j")
+
+
+@query("detect_grid", f"WITH s1 AS MATERIALIZED ({_WIDE}), s05 AS MATERIALIZED ({_HALF}) " + " UNION ALL ".join(
+    _peaks(s, g, t, d) for s, g in (("s05", 0.5), ("s1", 1.0)) for t in (0.02, 0.05) for d in (1, 2)))
+def _(v):
+    return J.detect(_frames(v), grid=[(s, t, d) for s in (0.5, 1.0) for t in (0.02, 0.05) for d in (1, 2)]).drop("idx")
+
+
+@query("detect_adaptive", f"""WITH s AS MATERIALIZED ({_WIDE}), h AS (SELECT sample_id, t, greatest(quantile_cont(v,0.8),0.02) AS threshold FROM ({FR}) GROUP BY 1,2)
+SELECT p.sample_id, p.t, round(h.threshold,6) AS threshold, CAST(p.y AS DOUBLE) AS y, CAST(p.x AS DOUBLE) AS x FROM s p JOIN h ON h.sample_id=p.sample_id AND h.t=p.t
+ JOIN s q ON p.sample_id=q.sample_id AND p.t=q.t AND abs(p.y-q.y)<=1 AND abs(p.x-q.x)<=1
+ WHERE p.v>h.threshold AND p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.sample_id, p.t, h.threshold, p.y, p.x, p.v HAVING p.v>=max(q.v)""")
 def _(v):
-    return J.detect(_frames(v), grid=[(s, t, d) for s in (0.5, 1.0) for t in (0.02, 0.05) for d in (1, 2)])
+    px = _px(v)  # pixels to frames, each with a threshold of its own
+    levels = J.frame_threshold(px, "percentile", percentile=80.0, floor=0.02).drop("raw").withColumnRenamed("threshold", "level")
+    found = J.detect(J.frames_of_pixels(px).join(levels, ["sample_id", "t"]), 1.0, "level", 1)
+    return found.select("sample_id", "t", r6("threshold").alias("threshold"), "y", "x")
 
 
 @query("detect_with_user_detector", f"""SELECT sample_id, t, 1.0::DOUBLE AS sigma, 0.1::DOUBLE AS threshold, 1 AS min_distance, 0 AS idx, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x

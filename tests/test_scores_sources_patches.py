@@ -238,3 +238,23 @@ def test_settings_names(spark):
 
     log = spark.createDataFrame([(1, {n: "1" for n in (*registry.FIELDS, "max_link_distance")})], "change_id int, fields map<string,string>")
     assert [r.field for r in registry.unknown_fields(log).collect()] == ["max_link_distance"]
+
+
+def test_detection_paths_agree_on_float_and_integer_images(spark):
+    from cellgraph.operators import frames as J
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for t in range(6):
+        image = rng.integers(0, 60, (17, 23))
+        rows += [("s", t, y, x, float(image[y, x])) for y in range(17) for x in range(23) if t or image[y, x] > 3]
+    px = spark.createDataFrame(rows, "sample_id string, t int, y int, x int, v double")
+    whole = J.frames_of_pixels(px)
+    full = px.where("t > 0")
+    for truncate in (False, True):
+        a = J.local_maxima(J.gaussian_smooth(full, 1.0, truncate), 2, 20.0).select("t", "y", "x").collect()
+        b = J.detect(whole.where("t > 0"), 1.0, 20.0, 2, truncate=truncate).select("t", "y", "x").collect()
+        assert len(a) > 20 and sorted(map(tuple, a)) == sorted((r.t, int(r.y), int(r.x)) for r in b)
+    first = whole.where("t = 0").first()
+    given = {(r[2], r[3]): r[4] for r in rows if r[1] == 0}
+    assert first.pix == [given.get((k // first.width, k % first.width), 0.0) for k in range(first.height * first.width)]
