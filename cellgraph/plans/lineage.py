@@ -138,9 +138,16 @@ def _(v):
     return graph.descendant_nodes(v.lineage, v.forest, roots, include_self=False)
 
 
-@query("lineage_layout")
-def _(v):
-    return graph.lineage_layout(v.forest)
+@query("lineage_layout", """WITH RECURSIVE c AS (SELECT sample_id, parent_track_id AS p, count(*) AS n FROM forest WHERE parent_track_id IS NOT NULL GROUP BY 1,2),
+ walk AS (SELECT sample_id, track_id, [track_id] AS path FROM forest WHERE parent_track_id IS NULL
+  UNION ALL SELECT f.sample_id, f.track_id, list_append(w.path, f.track_id) FROM walk w JOIN forest f ON f.sample_id=w.sample_id AND f.parent_track_id=w.track_id),
+ leaf AS (SELECT w.sample_id, w.track_id, row_number() OVER (PARTITION BY w.sample_id ORDER BY path)-1 AS slot FROM walk w LEFT JOIN c ON c.sample_id=w.sample_id AND c.p=w.track_id WHERE c.p IS NULL),
+ up AS (SELECT sample_id, slot, track_id AS node, 1.0::DOUBLE AS w FROM leaf
+  UNION ALL SELECT u.sample_id, u.slot, f.parent_track_id, u.w/c.n FROM up u JOIN forest f ON f.sample_id=u.sample_id AND f.track_id=u.node
+   JOIN c ON c.sample_id=f.sample_id AND c.p=f.parent_track_id)
+SELECT sample_id, node AS track_id, round(sum(slot*w),6)+0.0 AS slot FROM up GROUP BY 1,2""")
+def _(v):
+    return graph.lineage_layout(v.forest).withColumn("slot", r6("slot"))
 
 
 @query("rebuild_tracks", """
