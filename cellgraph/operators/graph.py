@@ -70,8 +70,7 @@ def _flatten(hooks: DataFrame) -> DataFrame:
 def descendants(tracks: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:
     """(sample_id, root, track_id): every track below each root. One join per generation.
 
-    A track has one parent, so no track is reached twice from a root; only a malformed table
-    can lead back to the root itself, and that step is dropped.
+    A track reached before is not followed again, so a table with a cycle (duplicate track rows) ends too.
     """
     children = tracks.where("parent_track_id IS NOT NULL").select(
         "sample_id", F.col("parent_track_id").alias("track_id"), F.col("track_id").alias("child"))
@@ -79,10 +78,13 @@ def descendants(tracks: DataFrame, roots: DataFrame, include_self: bool = True)
     with_levels = Spool(tracks.sparkSession)
     if include_self:
         with_levels.append(level)
+    pair = ["sample_id", "root", "track_id"]
     while True:
         step = level.join(children, ["sample_id", "track_id"]).where("child <> root").select(
-            "sample_id", "root", F.col("child").alias("track_id"))
-        level = with_levels.append(step)
+            "sample_id", "root", F.col("child").alias("track_id")).distinct()
+        if with_levels.rounds:
+            step = step.join(with_levels.read(), pair, "left_anti")
+        level = with_levels.append(step.select(*pair))
         if level.isEmpty():
             break
     return with_levels.read()

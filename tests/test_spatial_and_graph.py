@@ -93,3 +93,11 @@ def test_ranks_and_percentiles_with_heavy_values(spark):
     for g in (0, 1):
         want = np.percentile([r[2] for r in rows if r[0] == g], [10, 50, 99])
         assert [p[g].a, p[g].b, p[g].c] == pytest.approx(list(want))
+
+
+def test_descendants_end_on_a_cycle_below_the_root(spark):
+    rows = [("s", 1, None), ("s", 2, 1), ("s", 3, 2), ("s", 2, 3), ("s", 4, 3)]
+    tracks = spark.createDataFrame(rows, "sample_id string, track_id bigint, parent_track_id bigint")
+    roots = spark.createDataFrame([("s", 1)], "sample_id string, track_id bigint")
+    for own, want in ((True, [1, 2, 3, 4]), (False, [2, 3, 4])):
+        assert sorted(r.track_id for r in graph.descendants(tracks, roots, own).collect()) == want
