@@ -1,5 +1,6 @@
 """Quality rules against a plain version, with odd rows."""
 
+import functools
 import math
 import re
 
@@ -10,8 +11,8 @@ from cellgraph.llm import likelihood_ratio as L
 
 
 def grams(text):
-    t = re.findall(r"[^\W_]+|_+", text) and [m.group() for m in re.finditer(r"\w+|[^\w\s]+", text)]
-    h = lambda *p: __import__("functools").reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), p, 42) >> (64 - L.BITS)
+    t = re.findall(r"\w+|[^\w\s]+", text)
+    h = lambda *p: functools.reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), p, 42) >> (64 - L.BITS)
     return [h(a) for a in t] + [h(a, b) for a, b in zip(t, t[1:] + [""])]
 
 
