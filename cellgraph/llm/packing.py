@@ -28,7 +28,7 @@ from ..session import cut_lineage
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one part of a length's ranking.
 PART_ROWS = 50_000
-#: Words and pieces of words remembered by a worker.
+#: Words remembered by a worker, twice over (recent and older ones).
 _MEMO = 250_000
 
 
@@ -54,38 +54,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split, self.odd = regex.compile(self.PIECE).findall, regex.compile(self.ODD).search
+        # a point or comma between a letter and a blank is a piece of its own: set apart, words recur more often
+        self.mark = regex.compile(r"(?<=\p{L})(?=[.,](?:\s|$))").sub
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > _MEMO:
-            self.words.clear()
-        if len(self.pieces) > _MEMO:
-            self.pieces.clear()
-        split = {w: self.split(w) for w in words if w not in self.words}
-        new = [p for p in {p for ps in split.values() for p in ps} if p not in self.pieces]
+        if len(self.words) > _MEMO:  # words still in use come back from the older half
+            self.words, self.older = {}, self.words
+        split: dict[str, list[str]] = {}
+        for w in words.difference(self.words):
+            known = self.older.get(w)
+            if known is None:
+                split[w] = [w] if w.isalpha() else self.split(w)
+            else:
+                self.words[w] = known
+        new = list({p for ps in split.values() for p in ps}.difference(self.words))
         blocks = [new[k:k + 500] for k in range(0, len(new), 500)]
         for block, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(block):
                 raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                self.pieces.update((p, raw[a:b]) for p, a, b in zip(block, at, at[1:]))
+                self.words.update((p, raw[a:b]) for p, a, b in zip(block, at, at[1:]))
             else:
-                self.pieces.update((p, self._whole(p)) for p in block)
-        get = self.pieces.__getitem__
+                self.words.update((p, self._whole(p)) for p in block)
+        get = self.words.__getitem__
         for w, ps in split.items():
-            self.words[w] = b"".join(map(get, ps))
+            if len(ps) != 1:
+                self.words[w] = b"".join(map(get, ps))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for k in range(0, len(texts), 64):
-            plain = [None if self.odd(t) else t.lower().split() for t in texts[k:k + 64]]
+            plain = [None if self.odd(t) else self.mark(" ", t.lower()).split() for t in texts[k:k + 64]]
             self._learn(set().union(*(w for w in plain if w)))
             get = self.words.__getitem__
             for text, w in zip(texts[k:k + 64], plain):
