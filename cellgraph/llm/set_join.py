@@ -3,14 +3,15 @@
 A text's set is its distinct 4-word shingles (A-Z lower-cased; a shorter text is one shingle). Texts with
 equal sets form a class, so copies cost one row. Two classes link when 100*|A&B| >= 85*|A|B|.
 
-1. *Coarse pass.* Under any fixed order of shingles, two linked sets share one among their first
-   n - ceil(0.85 n) + 1. With the hash as order this needs no corpus counts: one shuffle of those prefixes
-   drops every class that shares no prefix shingle with a class of fitting size. It loses no link.
+1. *Coarse pass.* Under any fixed order of shingles, two linked sets share at least l of their first
+   n - ceil(0.85 n) + l. With the hash as order this needs no corpus counts: one shuffle of such prefixes (about a fifth of all
+   shingles) drops every class that shares fewer than l of them with any other class. It loses no link.
 2. *Heavy-light split.* Sets of up to x shingles enumerate all subsets of the size a linked partner must
    share; equal subsets meet in a bucket. Larger sets look through inverted lists of the rarest-first prefix
    (which also list the small sets that a large one can link with). x minimises the counted cost of both.
 3. *Buckets to links.* Members of a bucket are compared with its most central member first; then only
-   members that are still in different components are compared with each other. A group of near copies
+   members that are still in different components are compared with each other, and only where the places of the common
+   shingle leave room for the overlap wanted. A group of near copies
    costs its size, not its square, and no link between components is missed.
 
 Nulls and odd rows: null, empty and blank texts have the empty set, n_shingles 0, no link, and component_id =
@@ -29,7 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 from .common import smallest_reachable
@@ -38,7 +40,19 @@ WORDS, SIMILAR = 4, 85
 #: Sets above this size are never enumerated; the boundary found by cost lies at or below it.
 MAX_SMALL = 40
 _MEMO = 400_000
-_memo: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """word -> its 64-bit hash; remembers what it was asked."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -47,22 +61,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
-
-    if len(_memo) > _MEMO:
-        _memo.clear()
-    h = _memo[word] = xxhash.xxh64_intdigest(word)
-    return h
-
-
 def shingle_hashes(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, the six ASCII blanks only
     if not found:
         return np.empty(0, np.uint64)
-    get = _memo.get
-    h = np.fromiter((get(w) or _word_hash(w) for w in found), np.uint64, len(found))
+    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
     width = min(WORDS, len(h))
     total = np.full(len(h) - width + 1, np.uint64(len(h) if width < WORDS else WORDS))
     for k in range(width):
@@ -74,6 +78,12 @@ def prefix_size(n):
     return n - (SIMILAR * n + 99) // 100 + 1
 
 
+def coarse_size(n):
+    """(l, length) of the coarse pass: of `length` first shingles at least l are shared with a linked set."""
+    least = (prefix_size(n) + 1) // 2
+    return least, prefix_size(n) - 1 + least
+
+
 def needed(a: int, b: int) -> int:
     """Least intersection of linked sets of these sizes."""
     return -(-SIMILAR * (a + b) // (100 + SIMILAR))
@@ -90,7 +100,7 @@ def _document_sets(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[p
         keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
         sizes = pa.array([len(s) for s in sets], pa.int32())
         if not whole:
-            sets = [s if len(s) <= MAX_SMALL else s[:prefix_size(len(s))] for s in sets]
+            sets = [s if len(s) <= MAX_SMALL else s[:coarse_size(len(s))[1]] for s in sets]
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         toks = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes, keys, toks], ["doc_id", "n", "key", "toks"])
@@ -130,9 +140,14 @@ def _subsets(frames: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFram
         yield pd.DataFrame(rows, columns=["bucket", "v", "n"])
 
 
-def _fits(a: str, b: str):
-    """Sizes that allow a link."""
-    return F.col(a).isNotNull() & F.col(b).isNotNull() & (100 * F.least(a, b) >= SIMILAR * F.greatest(a, b))
+def _may_link(n: str, place: str, m: str, other: str) -> Column:
+    """Whether sets of n and m shingles that share the one at these places (from 1, in rarest-first order) can overlap enough.
+
+    If it is their first common one, no more than n - place + 1 and m - other + 1 are shared.
+    """
+    wanted = F.ceil(SIMILAR * (F.col(n) + F.col(m)) / (100 + SIMILAR))
+    sizes = 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
+    return sizes & (F.col(n) - F.col(place) + 1 >= wanted) & (F.col(m) - F.col(other) + 1 >= wanted)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,24 +163,29 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link_buckets(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that span the components of all classes which meet in a bucket.
+def link_buckets(buckets: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that span the components of all classes which meet in a bucket, and those components (v, component).
 
-    buckets: (bucket, v, n, rank), rank higher for central members; sets: (v, n, toks).
+    buckets: (bucket, v, n, place, rank), rank higher for central members; sets: (v, n, toks).
     """
-    top = buckets.groupBy("bucket").agg(F.max(F.struct("rank", F.negative("v").alias("m"), "n")).alias("top"), F.count(F.lit(1)).alias("_c"))
-    top = top.where("_c > 1").select("bucket", F.negative(F.col("top.m")).alias("lead"), F.col("top.n").alias("lead_n"))
-    stars = buckets.join(top, "bucket").where(F.col("v") != F.col("lead")).where(_fits("n", "lead_n")).select(*_pair("v", "lead")).distinct()
+    top = buckets.groupBy("bucket").agg(F.max(F.struct("rank", F.negative("v").alias("m"), "n", "place")).alias("top"), F.count(F.lit(1)).alias("_c"))
+    top = top.where("_c > 1").select("bucket", F.negative(F.col("top.m")).alias("lead"), F.col("top.n").alias("lead_n"), F.col("top.place").alias("lead_place"))
+    stars = buckets.join(top, "bucket").where(F.col("v") != F.col("lead")).where(_may_link("n", "place", "lead_n", "lead_place")).select(*_pair("v", "lead")).distinct()
     tried = cut_lineage(stars)
     links = cut_lineage(_linked(tried, sets))
-    parts = smallest_reachable(links, "a", "b").select(F.col("node").alias("v"), "component")
-    known = cut_lineage(buckets.join(parts, "v", "left").select("bucket", "v", "n", F.coalesce("component", "v").alias("c")))
+    parts = smallest_reachable(links, "a", "b").withColumnRenamed("node", "v")
+    known = cut_lineage(buckets.join(parts, "v", "left").select("bucket", "v", "n", "place", F.coalesce("component", "v").alias("c")))
     mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     open_ = known.join(mixed, "bucket")
-    other = open_.select("bucket", F.col("v").alias("w"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = open_.join(other, "bucket").where("v < w AND c <> d").where(_fits("n", "m")).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
-    more = _linked(rest.join(tried, ["a", "b"], "left_anti"), sets)
-    return links.unionByName(cut_lineage(more))
+    # of two sets the smaller one holds the shingle early enough for a partner of its own size
+    early = open_.where(F.col("n") - F.col("place") + 1 >= F.ceil(2 * SIMILAR * F.col("n") / (100 + SIMILAR)))
+    other = open_.select("bucket", F.col("v").alias("w"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("c").alias("d"))
+    rest = early.join(other, "bucket").where("v <> w AND n <= m AND c <> d").where(_may_link("n", "place", "m", "at")).select(*_pair("v", "w")).distinct()
+    more = cut_lineage(_linked(rest.join(tried, ["a", "b"], "left_anti"), sets))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        parts = smallest_reachable(links, "a", "b").withColumnRenamed("node", "v")
+    return links, parts
 
 
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,13 +200,12 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     grouped = seen.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("toks").alias("toks"))
     classes = cut_lineage(grouped.withColumn("v", F.monotonically_increasing_id()))
 
-    # 1. classes that share a prefix shingle with a class of fitting size
-    entries = classes.select("v", "n", F.explode(F.slice("toks", F.lit(1), F.least(F.size("toks"), prefix_size_col("n")))).alias("tok"))
-    order = W.partitionBy("tok").orderBy("n")
-    near = entries.select("v", "n", F.lag("n").over(order).alias("below"), F.lead("n").over(order).alias("above"))
-    near = near.where(_fits("n", "below") | _fits("n", "above")).select("v").distinct()
+    # 1. classes that share enough of their first shingles
+    least = F.floor((prefix_size_col("n") + 1) / 2).cast("int")
+    entries = classes.select("v", F.explode(F.slice("toks", F.lit(1), prefix_size_col("n") - 1 + least)).alias("tok"))
+    shared = entries.select("v", F.count(F.lit(1)).over(W.partitionBy("tok")).alias("df")).where("df > 1").groupBy("v").agg(F.count(F.lit(1)).alias("shared"))
+    close = cut_lineage(classes.select("v", "key", "first_doc", "n").join(shared, "v").where(F.col("shared") >= least).drop("shared"))
     # 2. whole sets of those only; the first document of a class stands for it
-    close = cut_lineage(classes.drop("toks").join(near, "v"))
     wanted = docs.select("doc_id", "text").join(close.select("first_doc").distinct(), F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")
     sets = _sets(wanted, whole=True).join(close.select("key", "v"), "key").groupBy("v").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     sets = cut_lineage(sets)
@@ -200,13 +219,12 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     listed = (shared.join(held, "v").withColumn("at", F.row_number().over(W.partitionBy("v").orderBy("df", "tok")))
               .where(F.col("at") <= prefix_size_col("n") - (F.col("n") - F.col("k")))
               .where(F.ceil(F.lit(100) * F.col("n") / SIMILAR) > limit)
-              .select(F.col("tok").alias("bucket"), "v", "n", (F.col("k") / F.col("n")).alias("rank")))
+              .select(F.col("tok").alias("bucket"), "v", "n", (F.col("at") + F.col("n") - F.col("k")).cast("int").alias("place"), (F.col("k") / F.col("n")).alias("rank")))
     small = sets.where(F.col("n") <= limit).mapInPandas(lambda it: _subsets(it, limit), "bucket bigint, v bigint, n int")
-    small = small.join(held, "v", "left").select("bucket", "v", "n", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("rank"))
-    links = link_buckets(cut_lineage(listed.unionByName(small)), sets.select("v", "n", "toks"))
+    small = small.join(held, "v", "left").select("bucket", "v", "n", F.lit(1).alias("place"), (F.coalesce("k", F.lit(0)) / F.col("n")).alias("rank"))
+    links, parts = link_buckets(cut_lineage(listed.unionByName(small)), sets.select("v", "n", "toks"))
 
     # components take the smallest document id of their classes
-    parts = smallest_reachable(links, "a", "b").select(F.col("node").alias("v"), "component")
     placed = close.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = placed.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     known = placed.join(least, "component").select("v", F.col("component_id").alias("_c"))
