@@ -284,11 +284,3 @@ def inspection_set(manifest: DataFrame, caps: dict[str, int], order: Sequence[st
     most = max(caps.values())
     ranked = manifest.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(*order))).where(F.col("rank") <= most)
     return ranked.where(F.col("rank") <= cap)
-
-
-def union_strata(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-

@@ -163,7 +163,8 @@ def neighbours(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFra
         F.col("other_t").isNotNull().alias("resolved"))
 
 
-def union_edges(*tables: DataFrame) -> DataFrame:
+def union_tables(*tables: DataFrame) -> DataFrame:
+    """Rows of several tables with the same columns (edges, strata)."""
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

@@ -253,16 +253,13 @@ def match_greedy(prev: DataFrame, curr: DataFrame, max_distance: float, a_id: st
     return _match_frames(both, solve, max_pairs, lambda big: _local_in_pieces(big, max_distance, solve))
 
 
-def match_with(prev: DataFrame, curr: DataFrame, match_fn: Callable, a_id: str = "a_id", b_id: str = "b_id",
-               max_pairs: int = MAX_PAIRS) -> DataFrame:
+def match_with(prev: DataFrame, curr: DataFrame, match_fn: Callable, a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:
     """User matcher: ``match_fn(prev_yx, curr_yx) -> [(i, j), ...]``, called once per frame.
 
-    A foreign rule cannot be cut safely, so a frame above ``max_pairs`` is refused by name.
+    A foreign rule sees a frame whole, so one frame is one task, whatever its size.
     """
     def solve(key, pdf):
         left, right = _split_sides(pdf)
-        if len(left) * len(right) > max_pairs:
-            raise ValueError(f"frame {key} has {len(left)} x {len(right)} points, above max_pairs={max_pairs}")
         if left.empty or right.empty:
             return _emit(key, left, right, np.empty(0, dtype=int), np.empty(0, dtype=int), None)
         got = [(m[0], m[1]) for m in match_fn(left[["y", "x"]].to_numpy(), right[["y", "x"]].to_numpy())]
@@ -307,7 +304,7 @@ def link_frames(det: DataFrame, max_distance: float = 25.0, matcher: str | Calla
     elif matcher == "greedy":
         got = match_greedy(prev, curr, max_distance, max_pairs=max_pairs)
     elif callable(matcher):
-        got = match_with(prev, curr, matcher, max_pairs=max_pairs)
+        got = match_with(prev, curr, matcher)
     else:
         raise ValueError(f"unknown matcher {matcher!r}")
     return got.select("sample_id", "t", F.col("a_id").alias("prev_idx"), F.col("b_id").alias("curr_idx"), "distance")

@@ -277,7 +277,7 @@ def _(v):
 @query("union_strata", """SELECT det_id, 'near' AS stratum FROM manifest WHERE distance<2 UNION ALL SELECT det_id, 'far' FROM manifest WHERE distance>=12""")
 def _(v):
     part = lambda cond, name: v.manifest.where(cond).select("det_id", F.lit(name).alias("stratum"))
-    return A.union_strata(part("distance < 2", "near"), part("distance >= 12", "far"))
+    return graph.union_tables(part("distance < 2", "near"), part("distance >= 12", "far"))
 
 
 @query("file_manifest_audit", """WITH m AS (SELECT d.doc_id AS filename, d.lang AS sample_id, CASE WHEN l.toxic=1 THEN 'ambiguous' WHEN l.quality=1 THEN 'positive' ELSE 'negative' END AS label,

@@ -232,7 +232,7 @@ def _(v):
     skip = v.forest.where("parent_track_id IS NOT NULL").select(
         "sample_id", (F.col("parent_track_id") * 16 + 8).alias("src"), (F.col("track_id") * 16).alias("dst"))
     lost = v.forest.select("sample_id", (F.col("track_id") * 16 + 9).alias("src"), F.lit(-1).cast("bigint").alias("dst"))
-    return lineage.consecutive_only(graph.union_edges(v.lineage_edges, skip, lost), v.lineage)
+    return lineage.consecutive_only(graph.union_tables(v.lineage_edges, skip, lost), v.lineage)
 
 
 @query("to_ctc_tracks", """

@@ -124,4 +124,4 @@ def _(v):
         back = d.argmin(axis=0)
         return [(i, j) for i, j in enumerate(d.argmin(axis=1)) if back[j] == i and d[i, j] <= 25.0]
 
-    return matching.link_frames(_det(v), matcher=nearest_mutual, max_pairs=50_000_000).withColumn("distance", r6("distance"))
+    return matching.link_frames(_det(v), matcher=nearest_mutual).withColumn("distance", r6("distance"))

@@ -13,20 +13,13 @@ def _schema(**fields: T.DataType) -> T.StructType:
 
 _FLOATS = T.ArrayType(T.FloatType())
 
-DETECTIONS = _schema(sample_id=STRING, t=INT, idx=INT, y=DOUBLE, x=DOUBLE)
 NODES = _schema(sample_id=STRING, node_id=STRING, t=INT, y=DOUBLE, x=DOUBLE)
 EDGES = _schema(sample_id=STRING, src=STRING, dst=STRING)
 # column order of the track file is part of its format
 TRACK_FILE = _schema(node_id=LONG, t=INT, y=DOUBLE, x=DOUBLE, track_id=LONG, parent_node_id=LONG,
                      parent_track_id=LONG, is_division_parent=BOOL)
-TRACKS = _schema(sample_id=STRING, track_id=LONG, start_t=INT, end_t=INT, parent_track_id=LONG)
 CTC_TRACKS = _schema(track_id=INT, start_t=INT, end_t=INT, parent_track_id=INT)
-MASK_PIXELS = _schema(sample_id=STRING, t=INT, y=INT, x=INT, label=INT)
-PIXELS = _schema(sample_id=STRING, t=INT, z=INT, y=INT, x=INT, v=DOUBLE)
 FRAMES = _schema(sample_id=STRING, t=INT, height=INT, width=INT, pix=_FLOATS)
-GEFF = _schema(sample_id=STRING, ids=T.ArrayType(LONG), t=T.ArrayType(INT), y=T.ArrayType(DOUBLE), x=T.ArrayType(DOUBLE),
-               edges=T.ArrayType(_schema(src=LONG, dst=LONG)))
-GT_COORDINATES = _schema(sample_id=STRING, frame_idx=INT, gt_y=DOUBLE, gt_x=DOUBLE)
 # fixed column names of the candidate manifest
 MANIFEST = _schema(
     sample_id=STRING, frame_idx=INT, candidate_y=INT, candidate_x=INT, nearest_gt_y=DOUBLE, nearest_gt_x=DOUBLE,
@@ -34,7 +27,5 @@ MANIFEST = _schema(
     threshold_method=STRING, threshold_floor=DOUBLE, min_distance=INT, d_max_px=DOUBLE, patch_size=INT,
     detector_class=STRING, adaptive_detector_sha256=STRING, run_timestamp_utc=STRING)
 SPLIT = _schema(sample_id=STRING, split=STRING)
-PREDICTIONS = _schema(sample_id=STRING, label=DOUBLE, probability=DOUBLE, filename=STRING, patch_path=STRING)
-PATCHES = _schema(sample_id=STRING, patch_id=STRING, label=INT, split=STRING, pix=_FLOATS)
 EPOCHS = _schema(run=STRING, epoch=INT, train_loss=DOUBLE, train_accuracy=DOUBLE, val_loss=DOUBLE, val_accuracy=DOUBLE,
                  val_roc_auc=DOUBLE, val_pr_auc=DOUBLE, learning_rate=DOUBLE)
