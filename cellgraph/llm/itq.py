@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import smallest_reachable
+from .common import hashed_sample, smallest_reachable
 
 SIMILAR = 0.95
 #: Vectors the rotations are learnt on, at most.
@@ -112,7 +112,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = SIMILAR, sample_rows:
     classes = cut_lineage(keyed.where("ok").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
                           .withColumn("v", F.monotonically_increasing_id()))
     n = classes.count()
-    sample = [r["x"] for r in classes.orderBy(F.xxhash64("key")).limit(sample_rows).select("x").collect()] if n else []
+    sample = [r["x"] for r in hashed_sample(classes, sample_rows, "key").select("x").collect()] if n else []
     links = cut_lineage(_search(classes, np.array(sample), n, threshold)) if n > 1 else vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
     parts = smallest_reachable(links, "a", "b").select(F.col("node").alias("v"), "component")
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settled, text_of, words
+from .common import hashed_sample, settled, text_of, words
 
 #: Number of hashed buckets is 2**BITS, whatever the corpus.
 BITS = 14
@@ -42,7 +42,7 @@ def _grams(tokens: Column) -> Column:
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     """Ids of documents labelled good: all of them, or the `rows` smallest by hash."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return hashed_sample(good, rows, "doc_id")
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import hashed_sample
+
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS, FIT_CHARS = 400, 20_000
 WINDOW, STEP = 96, 48
@@ -316,7 +318,7 @@ def train(texts: list[str], rounds: int = _ROUNDS) -> Network:
 def training_texts(docs: DataFrame, rows: int = FIT_ROWS) -> list[str]:
     """At most `rows` texts that hold a digit or an @, the smallest by hash."""
     held = docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= FIT_CHARS)).select("doc_id", "text")
-    return [r["text"] for r in held.orderBy(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "text").limit(rows).collect()]
+    return [r["text"] for r in hashed_sample(held, rows, "doc_id", "text").collect()]
 
 
 # --- finding --------------------------------------------------------------------------------------------------------

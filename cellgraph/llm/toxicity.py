@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_of
+from .common import hashed_sample, text_of
 
 FIT_ROWS, FIT_CHARS = 6000, 20_000
 TOXIC_AT = 0.7
@@ -251,7 +251,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
     """At most `rows` (text, toxic) rows whose doc_id satisfies learn, the smallest by hash of those labelled."""
     marked = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
+    drawn = hashed_sample(marked, 2 * rows, "doc_id")
     found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.char_length(text_of()) <= FIT_CHARS)
     return [(r["text"] or "", int(r["toxic"])) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()]
 
