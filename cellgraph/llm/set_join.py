@@ -212,13 +212,13 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     entries = sets.select("v", "n", F.explode("toks").alias("tok"))
     shared = cut_lineage(entries.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("tok"))).where("df > 1"))
     sizes = {r["n"]: r["c"] for r in sets.where(F.col("n") <= MAX_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    length = shared.agg(F.avg("df")).first()[0] or 1.0
-    limit = boundary(sizes, length)
     # rarest first: shingles of one class alone lead the order and need no list
     held = shared.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    listed = (shared.join(held, "v").withColumn("at", F.row_number().over(W.partitionBy("v").orderBy("df", "tok")))
-              .where(F.col("at") <= prefix_size_col("n") - (F.col("n") - F.col("k")))
-              .where(F.ceil(F.lit(100) * F.col("n") / SIMILAR) > limit)
+    first = cut_lineage(shared.join(held, "v").withColumn("at", F.row_number().over(W.partitionBy("v").orderBy("df", "tok")))
+                        .where(F.col("at") <= prefix_size_col("n") - (F.col("n") - F.col("k"))))
+    # what a scan reads: the lists of the prefixes, not of all shared shingles
+    limit = boundary(sizes, first.agg(F.avg("df")).first()[0] or 1.0)
+    listed = (first.where(F.ceil(F.lit(100) * F.col("n") / SIMILAR) > limit)
               .select(F.col("tok").alias("bucket"), "v", "n", (F.col("at") + F.col("n") - F.col("k")).cast("int").alias("place"), (F.col("k") / F.col("n")).alias("rank")))
     small = sets.where(F.col("n") <= limit).mapInPandas(lambda it: _subsets(it, limit), "bucket bigint, v bigint, n int")
     small = small.join(held, "v", "left").select("bucket", "v", "n", F.lit(1).alias("place"), (F.coalesce("k", F.lit(0)) / F.col("n")).alias("rank"))
