@@ -1,9 +1,10 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, rerank with the vectors.
 
 A rotation is learnt on a bounded sample (SAMPLE_ROWS vectors, the smallest by hash) so that signs of the rotated, centred
-vectors make balanced binary codes. Every vector is coded under ROTATIONS such rotations (different starts). Each code is cut into substrings;
-a vector is listed once per substring and looked up under that substring and all that differ from it in one bit. The width of a substring
-follows log2 of the number of vectors, so a list keeps a bounded expected length as the corpus grows. Candidates
+vectors make balanced binary codes. Every vector is coded under ROTATIONS such rotations (different starts). From each code several
+tables take a key of equally many bits; a vector is listed once per table and looked up under its key and all that differ from it in one bit. The width of
+every key follows log2 of the number of vectors, so a list keeps a bounded expected length as the corpus grows (codes have no more bits than vectors have
+dimensions, so shorter vectors than that have longer lists). Wide keys meet less often; tables are added until trial pairs at the threshold meet. Candidates
 whose whole codes are farther apart than MAX_DISTANCE are dropped before they are moved; the rest are compared by
 cosine in double precision. Recall against all pairs is measured in the tests (0.9 is asked; see README).
 
@@ -32,6 +33,8 @@ SAMPLE_ROWS = 20_000
 ROTATIONS, ROUNDS, BITS = 3, 40, 64
 #: Hamming distance (of BITS) beyond which a candidate is not compared; at cosine 0.95 the expected one is about 6.5.
 MAX_DISTANCE = 20
+#: Share of TRIALS pairs at the threshold that must meet in a table, and a bound on tables a rotation (vectors that never turn apart need few).
+MEETING, TRIALS, MAX_TABLES = 0.99, 2000, 64
 
 
 def learn(sample: np.ndarray, bits: int = BITS, rotations: int = ROTATIONS, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -54,37 +57,67 @@ def learn(sample: np.ndarray, bits: int = BITS, rotations: int = ROTATIONS, seed
     return mean, out
 
 
+def key_bits(bits: int, width: int, seed: int) -> Iterator[list[int]]:
+    """Places in the code of each table's key, always `width` of them; every bit is used once before one is used again."""
+    rng, left = np.random.default_rng(seed), []
+    while True:
+        own, left = left[:width], left[width:]
+        if len(own) < width:
+            fresh = [b for b in rng.permutation(bits).tolist() if b not in own]
+            own, left = own + fresh[:width - len(own)], fresh[width - len(own):]
+        yield own
+
+
+def tables(sample: np.ndarray, mean: np.ndarray, turns: list[np.ndarray], width: int, threshold: float) -> list[list[list[int]]]:
+    """key_bits of the tables of every rotation: as many as use every bit, and more until trial pairs meet often enough.
+
+    Trial pairs are vectors of the sample and others at the threshold from them in a random direction.
+    """
+    bits = turns[0].shape[1]
+    u = (sample / np.linalg.norm(sample, axis=1, keepdims=True))[:TRIALS]
+    away = np.random.default_rng(3).normal(size=u.shape)
+    away -= (away * u).sum(1, keepdims=True) * u
+    v = threshold * u + math.sqrt(max(0.0, 1 - threshold ** 2)) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    # vectors of one dimension have no other direction
+    apart = [((u - mean) @ turn >= 0) != ((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - mean) @ turn >= 0) for turn in turns]
+    near = np.all([a.sum(1) <= MAX_DISTANCE for a in apart], 0)
+    met, makers, out = ~near, [key_bits(bits, width, 11 + r) for r in range(len(turns))], [[] for _ in turns]
+    while len(out[0]) < MAX_TABLES and (len(out[0]) * width < bits or met[near].sum() < MEETING * near.sum()):
+        for own, maker, a in zip(out, makers, apart):
+            own.append(next(maker))
+            met |= a[:, own[-1]].sum(1) <= 1
+    return out
+
+
 def _valid(vector: str) -> Column:
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _codes(batches: Iterator[pa.RecordBatch], mean: np.ndarray, turns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch], mean: np.ndarray, turns: list[np.ndarray], places: list[list[list[int]]]) -> Iterator[pa.RecordBatch]:
+    """(v, codes, keys): the code of every rotation, and the keys of all tables of all rotations in turn."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_numpy(zero_copy_only=False)])
         x = x / np.linalg.norm(x, axis=1, keepdims=True) - mean
-        codes = []
-        for turn in turns:
+        codes, keys = [], []
+        for turn, own in zip(turns, places):
             bits = np.zeros((len(x), BITS), np.uint8)
             bits[:, :turn.shape[1]] = x @ turn >= 0
             codes.append(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel())
-        ends = np.arange(len(x) + 1, dtype=np.int32) * len(turns)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.stack(codes, 1).ravel())], ["v", "codes"])
+            keys += [bits[:, at] @ (np.int64(1) << np.arange(len(at))) for at in own]
+        lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(k), np.stack(k, 1).ravel()) for k in (codes, keys)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["v", "codes", "keys"])
 
 
-def _lists(codes: DataFrame, width: int, bits: int, probe: bool) -> DataFrame:
-    """(table, key, v, codes): every substring of every code, or with probe also all at distance one."""
-    tables = -(-bits // width)
-    keys = []
-    for r in range(ROTATIONS):
-        for t in range(tables):
-            wide = min(width, bits - t * width)
-            key = F.shiftright(F.get("codes", F.lit(r)), t * width).bitwiseAND(F.lit((1 << wide) - 1))
-            flips = [F.lit(0)] + ([F.lit(1 << b) for b in range(wide)] if probe else [])
-            keys += [F.struct(F.lit(r * tables + t).alias("table"), key.bitwiseXOR(f.cast("bigint")).alias("key")) for f in flips]
-    return codes.select("v", "codes", F.inline(F.array(*keys)))
+def _lists(codes: DataFrame, width: int, probe: bool) -> DataFrame:
+    """(table, key, v, codes): the key of every table, or with probe also all at distance one."""
+    listed = codes.select("v", "codes", F.posexplode("keys").alias("table", "key"))
+    if not probe:
+        return listed
+    flips = F.array(*[F.lit(f).cast("bigint") for f in (0, *(1 << b for b in range(width)))])
+    return listed.select("v", "codes", "table", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
 
 
 def _cosines(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -131,9 +164,10 @@ def _search(classes: DataFrame, sample: np.ndarray, n: int, threshold: float) ->
     mean, turns = learn(sample)
     bits = turns[0].shape[1]
     width = max(1, min(bits, 30, round(math.log2(max(n, 2)))))
-    codes = cut_lineage(classes.select("v", "x").mapInArrow(lambda it: _codes(it, mean, turns), "v bigint, codes array<bigint>"))
-    listed = _lists(codes, width, bits, probe=False)
-    asked = _lists(codes, width, bits, probe=True).select("table", "key", F.col("v").alias("w"), F.col("codes").alias("others"))
+    places = tables(sample, mean, turns, width, threshold)
+    codes = cut_lineage(classes.select("v", "x").mapInArrow(lambda it: _codes(it, mean, turns, places), "v bigint, codes array<bigint>, keys array<bigint>"))
+    listed = _lists(codes, width, probe=False)
+    asked = _lists(codes, width, probe=True).select("table", "key", F.col("v").alias("w"), F.col("codes").alias("others"))
     apart = lambda r: F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("others", F.lit(r))))
     pairs = listed.join(asked, ["table", "key"]).where(F.col("v") < F.col("w"))
     for r in range(ROTATIONS):

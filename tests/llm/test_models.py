@@ -159,3 +159,35 @@ def test_embeddings_recall_and_odd_vectors(spark):
     assert {r.n_links for r in got if r.vec_id in (2006, 2007, None)} == {true[2006]}
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert itq.near_duplicates(empty)[0].count() == 0
+
+
+@pytest.mark.parametrize("width", [12, 15, 20, 21, 27])
+def test_embedding_lists_stay_short_and_pairs_meet(width):
+    """Of 2**width vectors each meets about (1 + width) others in a table, whatever is left of the code; pairs at the threshold still meet."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    mean, turns = itq.learn(x)
+    places = itq.tables(x, mean, turns, width, 0.95)
+    assert all(len(set(at)) == width for own in places for at in own)
+    assert all(set().union(*own) == set(range(64)) for own in places)
+    u = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True)
+    y = rng.normal(size=u.shape)
+    y -= (y * u).sum(1, keepdims=True) * u
+    y = 0.95 * u + (1 - 0.95 ** 2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    met = np.zeros(len(u), bool)
+    for own, turn in zip(places, turns):
+        apart = ((u - mean) @ turn >= 0) != ((y - mean) @ turn >= 0)
+        for at in own:
+            met |= apart[:, at].sum(1) <= 1
+    assert met.mean() > 0.97
+
+
+def test_embedding_candidates_per_vector(spark, monkeypatch):
+    """4,096 vectors (keys of 12 bits, and 64 is no multiple): pairs that meet are counted before their distance is looked at."""
+    x = np.random.default_rng(4).normal(size=(4096, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v bigint, x array<double>")
+    monkeypatch.setattr(itq, "MAX_DISTANCE", 64)
+    made = itq.tables
+    monkeypatch.setattr(itq, "tables", lambda sample, mean, turns, width, _: made(sample, mean, turns, width, 0.95))  # -1.0: every pair is returned
+    pairs = itq._search(df, x, len(x), -1.0).count()
+    assert pairs < 200 * len(x)
