@@ -74,6 +74,19 @@ class Weights(dict):
         return found
 
 
+class _Second(dict):
+    """token -> whether it is a second-person word; remembers what it was asked."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > _MEMO:
+            self.clear()
+        found = self[token] = token.strip(_EDGE) in SECOND
+        return found
+
+
+_second = _Second()
+
+
 def terms(text: str) -> set[str]:
     """Words and marked word beginnings of a text, as the lexicon holds them."""
     found = set(_WORD.findall(text.lower()))
@@ -116,7 +129,7 @@ def learn_lexicon(rows: list[tuple[str, int]], least: float = 24.0) -> dict[str,
 
 
 def measure(text: str | None, weights: Weights) -> list[float]:
-    """The features of one text, in the order of NAMES; capitals and second person are measured in texts with a hit."""
+    """The features of one text, in the order of NAMES; all but those of hits are measured in every text."""
     text = text or ""
     low = text.lower()
     tokens = low.split()
@@ -127,14 +140,13 @@ def measure(text: str | None, weights: Weights) -> list[float]:
     hidden = int((w < 0).sum()) + spaced
     w = np.abs(w)
     insults = near = 0
-    densest = second = capitals = shouted = 0.0
-    if len(at) or spaced:
-        insults = sum(tokens[i].strip(_EDGE) in INSULTS for i in at)
-        near = sum(not SECOND.isdisjoint(t.strip(_EDGE) for t in tokens[max(0, i - NEAR):i + NEAR + 1]) for i in at)
-        second = sum(t.strip(_EDGE) in SECOND for t in tokens) / n
-        capitals = sum(map(str.isupper, text)) / len(text)
-        shouted = sum(len(t) > 1 and t.isupper() for t in text.split()) / n
+    densest = 0.0
+    second = sum(map(_second.__getitem__, tokens)) / max(1, n)
+    capitals = sum(text.count(c) for c in set(text) if c.isupper()) / max(1, len(text))
+    shouted = sum(len(t) > 1 and t.isupper() for t in text.split()) / max(1, n)
     if len(at):
+        insults = sum(tokens[i].strip(_EDGE) in INSULTS for i in at)
+        near = sum(any(map(_second.__getitem__, tokens[max(0, i - NEAR):i + NEAR + 1])) for i in at)
         total = np.concatenate([[0.0], np.cumsum(w[at])])
         densest = float((total[np.searchsorted(at, at + WINDOW)] - total[:-1]).max())
     per, size = 100.0 / max(20, n), max(1, len(text))

@@ -53,6 +53,22 @@ def test_toxicity_held_out(spark):
     assert weights["idiot,"] > 0 and weights["1d10t!"] < 0 and weights["id.iot"] != 0 and weights["river"] == 0
 
 
+def test_toxicity_without_a_lexicon_hit():
+    """Shouted second-person texts of words that are in no lexicon differ from calm ones, and are learnt."""
+    at = [T.NAMES.index(k) for k in ("second", "capitals", "shouted")]
+    loud, calm = (T.measure(t, T.Weights({})) for t in ("Well, YOU are a ZORBLAX today.", "well, we are a zorblax today."))
+    assert [loud[k] for k in at] == [1 / 6, 11 / 30, 2 / 6] and [calm[k] for k in at] == [0, 0, 0]
+    assert T.measure(" \n ", T.Weights({}))[:-1] == [0] * 11 and len(T.measure("", T.Weights({}))) == len(T.NAMES)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfgklmnprstvz") for _ in range(9))
+    text = lambda toxic: " ".join(word().upper() if toxic and k < 6 else word() for k in range(20))
+    rows = [(text(k % 3 == 0), int(k % 3 == 0)) for k in range(600)]
+    model = T.fit(rows)
+    assert not model.lexicon
+    score = model.score(np.array([T.measure(text(toxic), T.Weights({})) for toxic in (1, 0) for _ in range(50)]))
+    assert (score[:50] >= 0.7).mean() > 0.9 and (score[50:] >= 0.7).mean() < 0.1
+
+
 def test_isotonic_is_monotone_and_pools():
     rng = np.random.default_rng(0)
     raw = rng.normal(size=400)
