@@ -4,7 +4,8 @@ Two multinomials over the same hashed buckets are counted: one over the trusted
 the whole corpus. A document's score is the mean log ratio of its own words and word pairs; it is
 kept when the score reaches a fixed threshold and the base rules hold. Everything is built-in Spark
 functions. Rows never leave their partition for scoring: the bucket table (2**BITS doubles, a fixed
-size) reaches the tasks as a scalar subquery, so there is no shuffle of text at any input size.
+size) reaches the tasks as a scalar subquery, so scoring shuffles no text at any input size. Counting joins the
+texts with all trusted ids; Spark sends the ids to the tasks while they are few, and shuffles once they are many.
 
 Nulls and odd rows: a null text counts as empty; an empty text has no words, score 0.0 and fails the
 base rules; a null doc_id is scored like any other and is never trusted; repeated rows are scored one
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import hashed_sample, settled, text_of, words
+from .common import settled, text_of, words
 
 #: Number of hashed buckets is 2**BITS, whatever the corpus.
 BITS = 14
@@ -23,8 +24,6 @@ BITS = 14
 SMOOTHING = 1.0
 #: Mean log ratio below which a document is refused.
 THRESHOLD = -0.3
-#: At most so many trusted ids are used (the smallest by hash), so that they may be broadcast.
-TRUSTED_ROWS = 20_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
@@ -39,15 +38,14 @@ def _grams(tokens: Column) -> Column:
     return F.concat(F.transform(tokens, lambda t: _bucket(t)), pairs)
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of documents labelled good: all of them, or the `rows` smallest by hash."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return hashed_sample(good, rows, "doc_id")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row, one array: the log ratio of every bucket, counted over all rows of docs."""
-    flagged = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("_good"))), "doc_id", "left")
+    flagged = docs.join(trusted.select("doc_id", F.lit(1).alias("_good")), "doc_id", "left")
     # explode_outer: plain explode would add a filter that repeats the hashing inside its own lambda
     tokens = flagged.select("_good", F.regexp_extract_all(text_of(), F.lit(TOKEN), 0).alias("_t"))
     counts = (tokens.select("_good", F.explode_outer(_grams(F.col("_t"))).alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket")
@@ -100,7 +98,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def score_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs plus the base rules' columns, `llr` (mean log ratio) and `kept`.
 
-    trusted: doc_id of the target documents, at most TRUSTED_ROWS of them (see trusted_ids).
+    trusted: doc_id of the target documents, each once (see trusted_ids).
     """
     table = ratio_table(docs, trusted)
     tokens = base_rules(docs).withColumn("_t", F.regexp_extract_all(text_of(), F.lit(TOKEN), 0))

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cellgraph.llm import likelihood_ratio as L
 
@@ -61,3 +62,15 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert L.score_quality(docs, L.trusted_ids(labels)).count() == 0
+
+
+def test_all_trusted_texts_count(spark):
+    """However many documents are labelled good, every one is in the trusted count."""
+    labels = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted = L.trusted_ids(labels.unionByName(labels))
+    assert trusted.count() == 25_000
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 25_000, "fine").otherwise("poor").alias("text"))
+    ratios = L.ratio_table(docs, trusted).first()["ratios"]
+    buckets = 2 ** L.BITS
+    want = math.log((25_000 + 1) / (50_000 + buckets)) - math.log((25_000 + 1) / (60_000 + buckets))
+    assert abs(ratios[grams("fine")[0]] - want) < 1e-9
