@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat_format, itq, language_codes, likelihood_ratio, packing, pii_lstm, set_join, temperature_mix, toxicity, warc
+from . import chat_format, grid_codes, itq, language_codes, license_scan, likelihood_ratio, merkle, packing, pii_lstm, set_join, temperature_mix, toxicity, warc
 from .common import fold
 
 
@@ -72,8 +72,51 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(_table(spark, folder, "documents"))
+    places = F.transform("base_spans", lambda s: s["first_word"])
+    base = F.transform("base_spans", lambda s: s["label"])
+    more = F.concat(base, F.transform("notice_spans", lambda s: s["label"]), F.flatten(F.transform("expressions", lambda e: e["licenses"])))
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return scanned.select("doc_id", "n_words", F.size("base_spans").cast("long").alias("n_base"), F.array_min(places).alias("first_word"),
+                          F.array_max(places).alias("last_word"), listed(base).alias("base_labels"), listed(more).alias("labels"), "score")
+
+
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return grid_codes.compress(_table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Where 2 divides crc32(doc_id), the checked copy of a document has lost its line breaks."""
+    docs = _table(spark, folder, "documents")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    seen = merkle.leaf_hash(F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    return merkle.verify(merkle.manifest(docs, {"seen": seen}), "seen").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mix, op4_language, op5_pack, op6_embeddings, op7_quality, op8_private, op9_warc,
-                                    op10_jaccard)}
+                                    op10_jaccard, op11_licenses, op12_codes, op13_manifest)}
+
+
+def _codes_sql() -> str:
+    """Product codes: the rounds written out one after the other."""
+    nearest = """SELECT p.rid, p.part, min({{'d': list_inner_product(p.x,p.x)+list_inner_product(k.c,k.c)-2*list_inner_product(p.x,k.c), 'e': k.e}}) AS m
+          FROM p JOIN k{0} k ON p.part=k.part GROUP BY p.rid, p.part"""
+    moved = """SELECT k.part, k.e, CASE WHEN any_value(s.c) IS NULL THEN any_value(k.c) ELSE any_value(s.c) END AS c FROM k{0} k LEFT JOIN (
+          SELECT part, e, list(v ORDER BY i) AS c FROM (SELECT part, e, i, floor(sum(v)/count(*)) AS v FROM (
+            SELECT p.part, a.m.e AS e, unnest(p.x) AS v, unnest(range(len(p.x))) AS i FROM p JOIN a{0} a ON p.rid=a.rid AND p.part=a.part) GROUP BY part, e, i)
+          GROUP BY part, e) s ON k.part=s.part AND k.e=s.e GROUP BY k.part, k.e"""
+    rounds = [f"k{i + 1} AS MATERIALIZED ({moved.format(i)}), a{i + 1} AS MATERIALIZED ({nearest.format(i + 1)})" for i in range(4)]
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024*CAST(x AS DOUBLE))) AS q
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT rid, part, q[part*(len(q)//4)+1:(part+1)*(len(q)//4)] AS x FROM (SELECT *, unnest([0,1,2,3]) AS part FROM v)),
+        k0 AS MATERIALIZED (SELECT part, rid-1 AS e, x AS c FROM p WHERE rid <= 256), a0 AS MATERIALIZED ({nearest.format(0)}), {", ".join(rounds)},
+        g AS (SELECT rid, string_agg(lpad(to_hex(CAST(m.e AS BIGINT)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY rid),
+        b AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, i)) AS h FROM (SELECT part, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM k4))
+        SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN g USING (rid), b"""
+
+
 SQL: dict[str, str] = {
     "op2_chat": r"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -107,4 +150,27 @@ SQL: dict[str, str] = {
         m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS largest FROM p)
         SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN largest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN largest <> page_id THEN largest END AS refers_to FROM m""",
+    "op12_codes": _codes_sql(),
+    "op13_manifest": r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('1' || source, '0') AS src,
+          coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head, text,
+          CASE WHEN list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) % 2 = 1
+          THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+        l AS MATERIALIZED (SELECT doc_id, src, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS seen FROM d),
+        o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM l),
+        t(src, lvl, pos, h, n) AS (SELECT src, 0, pos, leaf, n FROM o UNION ALL
+          SELECT src, lvl+1, pos//3, sha256(string_agg(h, '' ORDER BY pos)), any_value(n+2)//3 FROM t WHERE n > 1 GROUP BY src, lvl, pos//3),
+        s AS MATERIALIZED (SELECT src, h AS subroot, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+        u(lvl, pos, h, n) AS (SELECT 0, pos, subroot, n FROM s UNION ALL
+          SELECT lvl+1, pos//3, sha256(string_agg(h, '' ORDER BY pos)), any_value(n+2)//3 FROM u WHERE n > 1 GROUP BY lvl, pos//3),
+        w AS (SELECT src, lvl, pos, h, n FROM t WHERE n > 1 UNION ALL SELECT NULL, lvl, pos, h, n FROM u WHERE n > 1),
+        b AS MATERIALIZED (SELECT src, lvl, pos, coalesce(string_agg(h, '') OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+          coalesce(string_agg(h, '') OVER (g ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM w WINDOW g AS (PARTITION BY src, lvl, pos//3 ORDER BY pos)),
+        c AS (SELECT o.src, o.pos, list(b.l || '|' || b.r ORDER BY b.lvl) AS steps FROM o JOIN b ON o.src = b.src AND b.pos = o.pos // CAST(pow(3, b.lvl) AS BIGINT) GROUP BY o.src, o.pos),
+        e AS (SELECT s.src, list(b.l || '|' || b.r ORDER BY b.lvl) AS steps FROM s JOIN b ON b.src IS NULL AND b.pos = s.pos // CAST(pow(3, b.lvl) AS BIGINT) GROUP BY s.src),
+        f AS (SELECT o.*, s.subroot, list_concat(coalesce(c.steps, []), coalesce(e.steps, [])) AS steps FROM o JOIN s USING (src) LEFT JOIN c ON c.src = o.src AND c.pos = o.pos LEFT JOIN e ON e.src = o.src),
+        r AS (SELECT *, list_reduce(list_concat([seen], steps), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM f)
+        SELECT doc_id, leaf, subroot, k.h AS root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = k.h AS verified
+        FROM r, (SELECT h FROM u WHERE n = 1) k""",
 }
