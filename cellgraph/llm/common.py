@@ -37,6 +37,39 @@ def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return drawn.orderBy(place, *key).limit(rows)
 
 
+def set_aside(docs: DataFrame, *own: Column) -> tuple[DataFrame, list[Column]]:
+    """The caller's columns under names that no operator uses, with the operator's own; and the columns that give the old names back."""
+    names = [(f"_in{k}", c) for k, c in enumerate(docs.columns)]
+    quoted = {c: "`" + c.replace("`", "``") + "`" for _, c in names}
+    return docs.select(*[F.col(quoted[c]).alias(n) for n, c in names], *own), [F.col(n).alias(c) for n, c in names]
+
+
+#: A bitmap of keys has 2**BITMAP bits, whatever the number of keys.
+BITMAP = 22
+
+
+def _bit(*key: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*key), 64 - BITMAP)
+
+
+def bitmap(keys: DataFrame, *key: str) -> DataFrame:
+    """One row, one array of fixed size: the bits of all keys."""
+    words = keys.select(_bit(*key).alias("b")).select(F.floor(F.col("b") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, CAST(b % 64 AS INT))").alias("bits"))
+    held = words.groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    every = keys.sparkSession.range(2 ** BITMAP // 64).select(F.col("id").cast("int").alias("at")).join(held, "at", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bitmap"))
+
+
+def may_hold(table: DataFrame, *key: str) -> Column:
+    """Whether a row's key may be among the bitmap's keys: never false for one of them.
+
+    What passes is to be joined exactly; the bitmap only spares the other rows the way through a shuffle. With very many keys all rows pass.
+    """
+    bit = _bit(*key)
+    word = F.get(table.scalar(), F.floor(bit / 64).cast("int"))
+    return F.call_function("getbit", word, (bit % 64).cast("int")) == 1
+
+
 def settled(df: DataFrame, *names: str) -> DataFrame:
     """df with the named columns computed once: a later filter on them is not rewritten into their formulas.
 

@@ -4,19 +4,19 @@ Two multinomials over the same hashed buckets are counted: one over the trusted
 the whole corpus. A document's score is the mean log ratio of its own words and word pairs; it is
 kept when the score reaches a fixed threshold and the base rules hold. Everything is built-in Spark
 functions. Rows never leave their partition for scoring: the bucket table (2**BITS doubles, a fixed
-size) reaches the tasks as a scalar subquery, so scoring shuffles no text at any input size. Counting joins the
-texts with all trusted ids; Spark sends the ids to the tasks while they are few, and shuffles once they are many.
+size) reaches the tasks as a scalar subquery, so scoring shuffles no text at any input size. The raw count is taken in place; for
+the trusted one, rows that a bitmap of trusted ids (fixed size) lets through are joined with all trusted ids, as arrays of buckets, never as text.
 
 Nulls and odd rows: a null text counts as empty; an empty text has no words, score 0.0 and fails the
 base rules; a null doc_id is scored like any other and is never trusted; repeated rows are scored one
-by one; other columns are kept, and helper columns are dropped before the result is returned.
+by one; other columns are kept, whatever their names (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept are replaced).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settled, text_of, words
+from .common import bitmap, may_hold, set_aside, settled, text_of, words
 
 #: Number of hashed buckets is 2**BITS, whatever the corpus.
 BITS = 14
@@ -45,11 +45,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row, one array: the log ratio of every bucket, counted over all rows of docs."""
-    flagged = docs.join(trusted.select("doc_id", F.lit(1).alias("_good")), "doc_id", "left")
+    grams = _grams(F.regexp_extract_all(text_of(), F.lit(TOKEN), 0))
     # explode_outer: plain explode would add a filter that repeats the hashing inside its own lambda
-    tokens = flagged.select("_good", F.regexp_extract_all(text_of(), F.lit(TOKEN), 0).alias("_t"))
-    counts = (tokens.select("_good", F.explode_outer(_grams(F.col("_t"))).alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket")
-              .agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good")))
+    raw = docs.select(F.explode_outer(grams).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.lit(0).cast("long").alias("good"))
+    likely = docs.where(may_hold(bitmap(trusted, "doc_id"), "doc_id"))
+    listed = likely.select("doc_id", grams.cast("array<smallint>").alias("_g")).join(trusted, "doc_id")
+    good = listed.select(F.explode_outer("_g").alias("bucket")).groupBy("bucket").agg(F.lit(0).cast("long").alias("raw"), F.count(F.lit(1)).alias("good"))
+    counts = raw.unionByName(good.withColumn("bucket", F.col("bucket").cast("long"))).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     spark = docs.sparkSession
     every = spark.range(2 ** BITS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").select(
         "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
@@ -70,8 +72,12 @@ def _repeated_words(w: Column) -> Column:
     return windows
 
 
+#: Columns of the result.
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
 def base_rules(docs: DataFrame) -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """docs (whose columns clash with no name used here) plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     first = docs.withColumns({"_w": words(text), "_lines": lines})
@@ -101,9 +107,11 @@ def score_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     trusted: doc_id of the target documents, each once (see trusted_ids).
     """
     table = ratio_table(docs, trusted)
-    tokens = base_rules(docs).withColumn("_t", F.regexp_extract_all(text_of(), F.lit(TOKEN), 0))
+    own, back = set_aside(docs, F.col("text"))
+    back = [c for c, name in zip(back, docs.columns) if name.lower() not in RESULT]
+    tokens = base_rules(own).withColumn("_t", F.regexp_extract_all(text_of(), F.lit(TOKEN), 0))
     ready = tokens.withColumns({"_grams": _grams(F.col("_t")), "_ratios": table.scalar()})
     total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.get("_ratios", g.cast("int")))
     llr = F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))
     scored = ready.withColumn("llr", llr).drop("_t", "_grams", "_ratios")
-    return settled(scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)), "llr", "kept")
+    return settled(scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)), "llr", "kept").select(*back, *RESULT)

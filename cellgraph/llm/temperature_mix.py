@@ -6,12 +6,14 @@ repeated source meets its repetition limit, whichever comes first. The budget is
 
 Each source then fills its token budget with whole permutations of its documents and the beginning of one more.
 A permutation orders documents by md5(seed, pass, doc_id). For the last one, blocks are ranges of that order (equal
-leading hex digits, about BLOCK_ROWS documents each): whole blocks are counted first and one window per block settles
-the rest, so a hot source is spread over all tasks. Everything is built-in Spark functions.
+leading hex digits, about BLOCK_ROWS documents each): whole blocks are counted first, and only the block in which a source's budget ends is put
+in order, on keys and counts alone. What comes of it is one row per source, the place where its last pass ends, and every document is
+compared with that where it lies: no text is shuffled. Everything is built-in Spark functions.
 
 Nulls and odd rows: a null source is a source of its own; a null or empty text has no tokens, costs nothing and is used in every
 whole pass of its source, and in the last one while budget is left before it; a source without any token is used once; repeated rows are drawn like
-any other rows; a null doc_id is ordered as 'null'; other columns are kept (an input column `epoch` is replaced).
+any other rows, and of those that are alike where a pass ends as many are drawn as the budget holds; a null doc_id is ordered as 'null';
+other columns are kept, whatever their names (an input column `epoch` is replaced).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
-from .common import text_of, words
+from .common import set_aside, text_of, words
 
 SEED = "mix-1"
 BLOCK_ROWS = 4096
@@ -99,24 +101,42 @@ def source_budgets(shares: DataFrame, exponent: float) -> DataFrame:
 def mix(docs: DataFrame, target_entropy: float | None = 0.97, max_repetition: float | None = 2.0, tokens: Column | None = None) -> DataFrame:
     """docs, each as often as drawn, plus `epoch` (1, 2, ... the pass of its source that draws it).
 
-    The order of a pass is md5(SEED|epoch|doc_id). docs is read twice: for the shares, and for the rows.
+    The order of a pass is md5(SEED|epoch|doc_id). docs is read three times: for the shares, for the blocks' sizes, and for the rows.
     """
     tokens = word_tokens() if tokens is None else tokens
-    names = [c for c in docs.columns if c != "epoch"]
     shares = cut_lineage(source_shares(docs, tokens))
-    plan = cut_lineage(source_budgets(shares, find_exponent(shares, target_entropy, max_repetition)))
+    plan = source_budgets(shares, find_exponent(shares, target_entropy, max_repetition))
     # hex digits that cut a source's order into ranges of about BLOCK_ROWS documents
     digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n_docs") / BLOCK_ROWS))).cast("int")
-    plan = plan.select(_key(), "whole", "rest", digits.alias("_digits"))
-    told = docs.select(*names, tokens.alias("_n"), _key()).join(plan, _KEY)
-    drawn = told.withColumn("_draw", _draw(F.col("whole") + 1)).withColumn("_block", F.substring("_draw", F.lit(1), F.col("_digits")))
-    # tokens of the blocks before this one
-    sums = drawn.groupBy(_KEY, "_block").agg(F.sum("_n").alias("_size"))
+    plan = cut_lineage(plan.select(_key(), "whole", "rest", digits.alias("_digits")))
+    own, back = set_aside(docs, F.col("doc_id"), tokens.alias("_n"), _key())
+    told = own.select(_KEY, "doc_id", "_n").join(plan, _KEY).withColumn("_draw", _draw(F.col("whole") + 1))
+    ends = plan.join(cut_lineage(_last_drawn(told)), _KEY, "left").select(_KEY, "whole", "_end", "_took")
+    ends = cut_lineage(ends)
+    placed = own.join(ends, _KEY).withColumn("_place", F.struct(_draw(F.col("whole") + 1).alias("_draw"), "doc_id", "_n"))
+    sure = placed.where(~F.coalesce((F.col("_took") > 0) & (F.col("_place") == F.col("_end")), F.lit(False)))
+    out = sure.withColumn("_more", F.coalesce((F.col("_place") < F.col("_end")).cast("int"), F.lit(0)))
+    if not ends.where("_took > 0").isEmpty():  # rows alike, of which a pass draws some
+        alike = placed.where((F.col("_took") > 0) & (F.col("_place") == F.col("_end")))
+        nth = F.row_number().over(W.partitionBy(_KEY).orderBy("_place"))
+        out = out.unionByName(alike.withColumn("_more", (nth <= F.col("_took")).cast("int")))
+    times = F.col("whole") + F.col("_more")
+    kept = [c for c, name in zip(back, docs.columns) if name.lower() != "epoch"]
+    return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*kept, F.col("_epoch").alias("epoch"))
+
+
+def _last_drawn(told: DataFrame) -> DataFrame:
+    """(source key, _end, _took): where a source's last pass ends, its first place that is not (wholly) drawn, and how many rows of that place are.
+
+    told: source key, doc_id, _n, _draw, rest and _digits of every row. Sources without a rest have no row here.
+    """
+    drawn = told.where("rest > 0").withColumn("_block", F.substring("_draw", F.lit(1), F.col("_digits")))
+    sums = drawn.groupBy(_KEY, "_block", "rest").agg(F.sum("_n").alias("_size"))
     before = W.partitionBy(_KEY).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(_KEY, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    placed = drawn.join(starts, [_KEY, "_block"])
-    inside = W.partitionBy(_KEY, "_block").orderBy("_draw", "doc_id", "_n").rowsBetween(W.unboundedPreceding, 0)
-    upto = F.col("_start") + F.sum("_n").over(inside)
-    copies = placed.withColumn("_upto", upto).withColumn("_last", (F.col("_upto") <= F.col("rest")) & (F.col("rest") > 0))
-    times = F.col("whole") + F.col("_last").cast("long")
-    return copies.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*names, "epoch")
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    edge = starts.where("_start <= rest AND rest < _start + _size").select(_KEY, "_block", "_start")
+    inside = W.partitionBy(_KEY).orderBy("_draw", "doc_id", "_n").rowsBetween(W.unboundedPreceding, 0)
+    rows = drawn.join(edge, [_KEY, "_block"]).withColumn("_in", F.col("_start") + F.sum("_n").over(inside) <= F.col("rest"))
+    places = rows.groupBy(_KEY, F.struct("_draw", "doc_id", "_n").alias("_end")).agg(F.count_if("_in").alias("_took"), F.count(F.lit(1)).alias("_rows"))
+    first = places.where("_took < _rows").groupBy(_KEY).agg(F.min(F.struct("_end", "_took")).alias("_first"))
+    return first.select(_KEY, "_first._end", "_first._took")

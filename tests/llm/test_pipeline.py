@@ -5,6 +5,7 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellgraph.llm import likelihood_ratio as L, pii_lstm as P, queries, set_join, temperature_mix as M
@@ -37,7 +38,7 @@ def test_stages(spark, tmp_path):
             assert len(after) <= len(good) and {r["doc_id"] for r in after} <= {r["doc_id"] for r in good}
             assert len(after) > 0.8 * len(good)
         elif name == "near_copies":
-            want = {d for d, _, c in plain([(r["doc_id"], r["text"]) for r in before]) if d == c}
+            want = {d for d, _, c in plain([(r["doc_id"], r["text"]) for r in before], 5, 80) if d == c}
             assert sorted(r["doc_id"] for r in after) == sorted(want)
         elif name == "private_data":
             assert len(after) == len(before)
@@ -72,6 +73,33 @@ def test_near_copies_keep_one_of_repeated_and_unnamed_rows(spark):
     assert sorted([(r.doc_id, r.source) for r in got.collect()], key=repr) == [(3, "b"), (7, "e"), (7, "e"), (8, "f"), (None, "d")]
 
 
+def test_near_copies_tell_rows_with_one_id_apart(spark):
+    from cellgraph.llm import stages
+
+    t1, t2, t3 = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    for rows, want in (([(7, t1), (7, t2), (9, t3)], [(7, t1), (7, t2), (9, t3)]), ([(1, t1), (7, t1), (7, t2)], [(1, t1), (7, t2)]),
+                       ([(None, t1), (None, t2), (4, t1), (4, t1)], [(4, t1), (None, t2)]), ([(5, t1 + " x"), (5, t1)], None)):
+        got = [(r.doc_id, r.text) for r in stages.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr) if want else len(got) == 1 and got[0] in rows
+
+
+CLASHING = ["rest", "whole", "_n", "_digits", "_start", "_good", "_t", "_w", "_ratios", "_words", "n_words", "llr", "kept", "epoch", "_h", "_d", "_k", "_wins", "_grams", "row", "n", "key",
+            "toks", "v", "_in0", "_draw", "_block", "_end", "_took", "_place", "_more", "_epoch", "_source_key", "bucket", "group_id", "first", "spans", "base_spans", "piece", "start", "length"]
+
+
+def test_columns_named_like_helpers_pass_untouched(spark):
+    from cellgraph.llm import stages
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in CLASHING])
+    for stage in (stages.quality_rules, stages.near_copies, stages.mixing, stages.private_data):
+        plainly = stage(spark, docs, SF).select("doc_id").collect()
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns
+        bad = got.where(" OR ".join(f"`{c}` <> concat_ws('-', '{c}', doc_id)" for c in CLASHING)).count()
+        assert bad == 0 and sorted(got.select("doc_id").collect()) == sorted(plainly), stage.__name__
+
+
 def test_empty_documents_go_through(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
