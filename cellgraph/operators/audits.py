@@ -226,21 +226,29 @@ def tag_parameters(det: DataFrame, params: Sequence[str]) -> DataFrame:
 
 
 def parameter_sweep(det: DataFrame, gt: DataFrame, params: Sequence[str], max_distance: float = 7.0, gated: bool = False) -> DataFrame:
-    """For each parameter setting: mean detections per frame, matches, precision, recall."""
+    """For each parameter setting: mean detections per frame, matches, precision, recall.
+
+    Frames of any sample count, with 0 detections where the setting found nothing there but ground truth exists.
+    """
     from .matching import match_gated, match_global
 
-    grid = det.select("sample_id", *params).distinct()
-    truth = tag_parameters(gt.join(grid, "sample_id"), params)
-    pred = tag_parameters(det, params)
+    # every setting meets every sample, also one in which it finds nothing; one written row per setting carries a number as key
+    settings = cut_lineage(det.select(*params).distinct().withColumn("_setting", F.monotonically_increasing_id()))
+    same = [F.col(f"d.{p}").eqNullSafe(F.col(f"s.{p}")) for p in params]
+    numbered = det.alias("d").join(settings.alias("s"), same).select("d.*", "s._setting")
+    key = lambda df: df.withColumn("sample_id", F.concat(F.col("_setting").cast("string"), F.lit(":"), "sample_id"))
+    numbers = settings.agg(F.collect_list("_setting").alias("_all"))  # settings are chosen by a caller: a handful
+    truth = key(gt.withColumn("_setting", F.explode(numbers.scalar())))
+    pred = key(numbered)
     pairs = (match_gated(truth, pred, max_distance, "gt_id", "idx") if gated
              else match_global(pred, truth, max_distance, "idx", "gt_id"))
     per = lambda df, name: df.groupBy(*FRAME).agg(F.count(F.lit(1)).alias(name))
     frames = (per(truth, "n_gt").join(per(pred, "n_pred"), FRAME, "full_outer").join(per(pairs, "tp"), FRAME, "left").fillna(0))
-    part = F.split(F.col("sample_id"), "\u0001")
-    keyed = frames.select(*[part[i + 1].alias(p) for i, p in enumerate(params)], "n_gt", "n_pred", "tp")
-    g = keyed.groupBy(*params).agg(F.avg("n_pred").alias("mean_detections"), F.sum("tp").alias("matches"),
-                                   F.sum("n_pred").alias("n_pred"), F.sum("n_gt").alias("n_gt"))
-    return g.withColumn("precision", F.try_divide("matches", "n_pred")).withColumn("recall", F.try_divide("matches", "n_gt"))
+    keyed = frames.select(F.substring_index("sample_id", ":", 1).cast("bigint").alias("_setting"), "n_gt", "n_pred", "tp")
+    g = keyed.groupBy("_setting").agg(F.avg("n_pred").alias("mean_detections"), F.sum("tp").alias("matches"),
+                                      F.sum("n_pred").alias("n_pred"), F.sum("n_gt").alias("n_gt"))
+    told = settings.select("_setting", *[F.col(p).cast("string").alias(p) for p in params]).join(g, "_setting").drop("_setting")
+    return told.withColumn("precision", F.try_divide("matches", "n_pred")).withColumn("recall", F.try_divide("matches", "n_gt"))
 
 
 def leakage(split: DataFrame, known: Sequence[str] = SPLITS) -> DataFrame:

@@ -1,7 +1,9 @@
 """One-to-one matching of points inside a frame, and linking of consecutive frames.
 
 Frames of ordinary size are solved one per group. A frame above ``max_pairs`` is never handed
-to one task: it is cut into independent pieces first, by a rule that keeps the answer exact.
+to one task: it is cut into independent pieces first, by a rule that keeps the answer exact. Which way a frame
+goes is only a matter of speed: among assignments of the same least total both take the one in which the lowest id
+of the smaller side (for gated matching, of the first table) has the lowest partner it can have, then the next id, and so on.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import euclidean
 from ..session import Spool, cut_lineage
-from .assignment import assign, pair_up
+from .assignment import assign, pair_gated, pair_up, pairs_within
 from .graph import components
 from .spatial import FRAME, around, cell, near_pairs
 
@@ -92,7 +94,7 @@ def _global_solver(limit: float):
 def _gated_solver(limit: float):
     def solve(key, pdf):
         left, right = _split_sides(pdf)
-        i, j = pair_up(left[["y", "x"]].to_numpy(), right[["y", "x"]].to_numpy(), cap=limit)
+        i, j = pair_gated(left[["y", "x"]].to_numpy(), right[["y", "x"]].to_numpy(), limit)
         return _emit(key, left, right, i, j, limit)
 
     return solve
@@ -237,16 +239,15 @@ def match_greedy(prev: DataFrame, curr: DataFrame, max_distance: float, a_id: st
     """
     def solve(key, pdf):
         left, right = _split_sides(pdf)
-        p, q = left[["y", "x"]].to_numpy(), right[["y", "x"]].to_numpy()
-        free = np.ones(len(q), dtype=bool)
+        a, b, d = pairs_within(left[["y", "x"]].to_numpy(), right[["y", "x"]].to_numpy(), max_distance)
+        order = np.lexsort((b, d, a))
+        free, done = np.ones(len(right), dtype=bool), -1
         i, j = [], []
-        for k in range(len(p)):
-            d = np.where(free, np.sqrt(((q - p[k]) ** 2).sum(axis=1)), np.inf) if len(q) else np.empty(0)
-            if len(d) and d.min() <= max_distance:
-                best = int(d.argmin())
-                free[best] = False
-                i.append(k)
-                j.append(best)
+        for row, col in zip(a[order].tolist(), b[order].tolist()):
+            if row != done and free[col]:
+                free[col], done = False, row
+                i.append(row)
+                j.append(col)
         return _emit(key, left, right, np.array(i, dtype=int), np.array(j, dtype=int), None)
 
     both = _tag(prev, 0, a_id).unionByName(_tag(curr, 1, b_id))
@@ -275,7 +276,8 @@ def attach_orphans(orphans: DataFrame, prev: DataFrame, used: DataFrame, max_dis
                    max_pairs: int = MAX_PAIRS) -> DataFrame:
     """Unmatched points go to earlier points with room left (two children at most), least total distance.
 
-    ``orphans``: b_id, ``prev``: a_id, ``used``: a_id rows of links already made; all keyed by frame.
+    ``orphans``: b_id, ``prev``: a_id, ``used``: a_id rows of links already made; all keyed by frame. A point with room for two
+    stands as two places with neighbouring numbers; by the rule for ties the lower one is filled first, so equal places never trade.
     """
     taken = used.groupBy(*FRAME, "a_id").agg(F.count(F.lit(1)).alias("_n"))
     room = (prev.join(taken, [*FRAME, "a_id"], "left").withColumn("_free", F.lit(2) - F.coalesce("_n", F.lit(0)))

@@ -247,6 +247,21 @@ def _(v):
     return A.parameter_sweep(det, v.gt, ["threshold"])
 
 
+# detections one pixel off every cell that the setting lets through; setting 1 finds nothing in the later sample
+@query("parameter_sweep_grid", """WITH c AS (SELECT CASE WHEN t < 3 THEN 'early' ELSE 'late' END AS sample_id, t, cell FROM cells), s AS (SELECT unnest([0,1]) AS s),
+ d AS (SELECT * FROM c, s WHERE s = 0 AND cell % 4 <> 0 OR s = 1 AND sample_id = 'early'),
+ f AS (SELECT s.s, c.sample_id, c.t, count(*) AS n_gt, (SELECT count(*) FROM d WHERE d.s=s.s AND d.t=c.t) AS n_pred FROM c, s GROUP BY ALL)
+SELECT CAST(s AS VARCHAR) AS setting, round(avg(n_pred),6) AS mean_detections, CAST(sum(n_pred) AS BIGINT) AS matches, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(n_gt) AS BIGINT) AS n_gt,
+ 1.0::DOUBLE AS "precision", round(sum(n_pred)/sum(n_gt),6) AS recall FROM f GROUP BY s""")
+def _(v):
+    cells = v.cells.withColumn("sample_id", F.when(F.col("t") < 3, "early").otherwise("late"))
+    gt = cells.withColumnRenamed("cell", "gt_id")
+    det = cells.withColumn("setting", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("x", F.col("x") + 1).withColumnRenamed("cell", "idx")
+    found = det.where("(setting = 0 AND idx % 4 <> 0) OR (setting = 1 AND sample_id = 'early')")
+    out = A.parameter_sweep(found, gt, ["setting"])
+    return out.select("setting", r6("mean_detections").alias("mean_detections"), "matches", "n_pred", "n_gt", "precision", r6("recall").alias("recall"))
+
+
 @query("leakage", """SELECT sample_id, 'two_splits' AS problem FROM (SELECT l_suppkey AS sample_id, min(l_returnflag) AS a, max(l_returnflag) AS b FROM lineitem GROUP BY 1) WHERE a<>b
 UNION ALL SELECT DISTINCT l_suppkey, 'unknown_split' FROM lineitem WHERE l_returnflag NOT IN ('A','R')""")
 def _(v):

@@ -63,6 +63,78 @@ def _(v):
     return edges.select("src", "dst")
 
 
+def _squares(v, name: str, turned: int):
+    """Two points at opposite corners of a unit square in every cell: all distances to the other two corners are 1."""
+    k = F.explode(F.array(F.lit(0), F.lit(1)))
+    two = v.cells.withColumn("k", k)
+    x = F.col("x") + (F.abs(F.col("k") - turned)).cast("double")
+    return two.select("sample_id", "t", (F.col("cell") * 2 + F.col("k")).alias(name), (F.col("y") + F.col("k")).alias("y"), x.alias("x"))
+
+
+TIES = "SELECT t, 2*cell+k AS a_id, 2*cell+k AS b_id, 1.0::DOUBLE AS distance FROM cells, (VALUES (0),(1)) AS s(k)"
+
+
+def _told(pairs):
+    return pairs.select("t", "a_id", "b_id", r6("distance").alias("distance"))
+
+
+# each square can be matched in two ways of equal cost: the lower id takes the lower one, on both paths
+@query("match_global_ties", TIES)
+def _(v):
+    return _told(matching.match_global(_squares(v, "a_id", 0), _squares(v, "b_id", 1), 5.0))
+
+
+@query("match_global_ties_in_pieces", TIES)
+def _(v):
+    return _told(matching.match_global(_squares(v, "a_id", 0), _squares(v, "b_id", 1), 5.0, max_pairs=0))
+
+
+@query("match_gated_ties", TIES)
+def _(v):
+    return _told(matching.match_gated(_squares(v, "a_id", 0), _squares(v, "b_id", 1), 5.0, "a_id", "b_id", max_pairs=0))
+
+
+# two orphans left and right of every cell, which has room for two, one or none: the lower id is taken first
+@query("attach_orphans_grid", """SELECT t, cell AS a_id, 2*cell+k AS b_id, 1.0::DOUBLE AS distance
+FROM cells, (VALUES (0),(1)) AS s(k) WHERE k < 2 - cell % 3""")
+def _(v):
+    both = v.cells.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    orphans = both.select("sample_id", "t", (F.col("cell") * 2 + F.col("k")).alias("b_id"), "y", (F.col("x") + 1 - 2 * F.col("k")).alias("x"))
+    prev = v.cells.withColumnRenamed("cell", "a_id")
+    used = both.where("k < cell % 3").select("sample_id", "t", F.col("cell").alias("a_id"))
+    return _told(matching.attach_orphans(orphans, prev, used, 30.0))
+
+
+def _dividing(v):
+    """The grid, with a second point 8 px below every fifth cell from frame 1 on."""
+    det = _cells(v)
+    n = v.table("part").count()
+    more = det.where("t > 0 AND idx % 5 = 0").select("sample_id", "t", (F.col("idx") + 2 * n).alias("idx"), (F.col("y") + 8).alias("y"), "x")
+    return det.unionByName(more)
+
+
+# daughters appear in frame 1 and attach to their cells; later they are linked like any other point
+@query("build_links_grid", """WITH n AS (SELECT count(*) AS n FROM part), d AS (SELECT t, cell AS idx, y, x FROM cells
+  UNION ALL SELECT t, cell + 2*n, y+8, x FROM cells, n WHERE t > 0 AND cell % 5 = 0)
+SELECT b.t, a.idx AS prev_idx, b.idx AS curr_idx, CASE WHEN a.idx=b.idx THEN 0 ELSE 1 END AS step, round(sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)),6) AS distance
+FROM d a JOIN d b ON b.t=a.t+1 AND (a.idx=b.idx OR (b.t=1 AND b.idx=a.idx+2*(SELECT n FROM n)))""")
+def _(v):
+    return matching.build_links(_dividing(v), 25.0, 30.0).select("t", "prev_idx", "curr_idx", "step", r6("distance").alias("distance"))
+
+
+# frame by frame: linked points by their parent's place, the link before the attached daughter
+@query("canonical_ids_grid", """WITH n AS (SELECT count(*) AS n FROM part), d AS (SELECT t, cell AS idx FROM cells UNION ALL SELECT t, cell + 2*n FROM cells, n WHERE t > 0 AND cell % 5 = 0),
+ f AS (SELECT t, idx, CASE WHEN t=1 AND idx >= 2*(SELECT n FROM n) THEN idx - 2*(SELECT n FROM n) ELSE idx END AS major0, CASE WHEN t=1 AND idx >= 2*(SELECT n FROM n) THEN 1 ELSE 0 END AS step FROM d)
+SELECT t, idx, prev_idx, row_number() OVER (ORDER BY t, prev_rank, step, idx) - 1 AS node_id FROM (
+ SELECT t, idx, step, CASE WHEN t > 0 THEN major0 END AS prev_idx, major0 AS prev_rank FROM f)""")
+def _(v):
+    det = _dividing(v)
+    links = matching.build_links(det, 25.0, 30.0)
+    ids = lineage.canonical_ids(det, links)
+    parents = ids.select("sample_id", F.col("node_id").alias("parent_node_id"), F.col("idx").alias("prev_idx"))
+    return ids.join(parents, ["sample_id", "parent_node_id"], "left").select("t", "idx", "prev_idx", "node_id")
+
+
 def _det(v):
     return v.det.withColumnRenamed("det_id", "idx")
 

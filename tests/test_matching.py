@@ -7,8 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from cellgraph.operators import lineage, matching
-from cellgraph.operators.assignment import pair_up
+from cellgraph.operators import audits, lineage, matching
+from cellgraph.operators.assignment import pair_gated, pair_up
 
 
 def brute(a, b, cap=None):
@@ -25,11 +25,99 @@ def test_kernel_is_optimal():
     rng = random.Random(1)
     for _ in range(300):
         a, b = points(rng, rng.randint(1, 6)), points(rng, rng.randint(1, 6))
+        small = min(len(a), len(b))
         for cap in (None, 12.0):
-            i, j = pair_up(np.array(a), np.array(b), cap)
-            assert len(set(i)) == len(set(j)) == min(len(a), len(b))
-            cost = sum((d if cap is None or d <= cap else 1e6) for d in (math.dist(a[x], b[y]) for x, y in zip(i, j)))
-            assert cost == pytest.approx(brute(a, b, cap))
+            i, j = pair_up(np.array(a), np.array(b)) if cap is None else pair_gated(np.array(a), np.array(b), cap)
+            assert len(set(i)) == len(set(j)) == (small if cap is None else len(i))
+            away = [math.dist(a[x], b[y]) for x, y in zip(i, j)]
+            assert cap is None or all(d <= cap for d in away)
+            assert sum(away) + 1e6 * (small - len(i)) == pytest.approx(brute(a, b, cap))
+
+
+def least_in_order(a, b, cap=None):
+    """All assignments tried: least total, then the first row's lowest column, then the second's, and so on."""
+    swap = cap is None and len(a) > len(b)
+    rows, cols = (b, a) if swap else (a, b)
+    best = None
+
+    def go(k, used, pick, cost):
+        nonlocal best
+        if k == len(rows):
+            key = (round(cost, 7), tuple(pick))
+            best = key if best is None or key < best else best
+            return
+        for j in range(len(cols)):
+            d = math.dist(rows[k], cols[j])
+            if j not in used and (cap is None or d <= cap):
+                go(k + 1, used | {j}, [*pick, j], cost + d)
+        if cap is not None:
+            go(k + 1, used, [*pick, len(cols)], cost + 1e6)
+
+    go(0, frozenset(), [], 0.0)
+    return sorted((j, i) if swap else (i, j) for i, j in enumerate(best[1]) if j < len(cols))
+
+
+def test_ties_go_to_the_lowest_column_of_the_first_row():
+    rng = random.Random(2)
+    for _ in range(250):
+        size = rng.choice([2, 3, 4])
+        a, b = ([(float(rng.randrange(size)), float(rng.randrange(size))) for _ in range(rng.randint(1, 5))] for _ in range(2))
+        got = pair_up(np.array(a), np.array(b))
+        assert sorted(zip(*map(list, got))) == least_in_order(a, b)
+        for cap in (0.5, 1.0, 1.5, 2.5):
+            got = pair_gated(np.array(a), np.array(b), cap)
+            assert sorted(zip(*map(list, got))) == least_in_order(a, b, cap)
+
+
+def tied_frames(spark):
+    """Full, thinned and small grids: every assignment has many equals."""
+    rng = random.Random(13)
+    a, b = [], []
+    for t, (side, keep) in enumerate([(12, 1.0), (12, 0.8), (9, 0.5), (3, 1.0), (7, 0.9)]):
+        for rows in (a, b):
+            places = [(float(y), float(x)) for y in range(side) for x in range(side) if rng.random() < keep]
+            rng.shuffle(places)
+            rows += [("s", t, k, *p) for k, p in enumerate(places)]
+    make = lambda rows, name: spark.createDataFrame(rows, f"sample_id string, t int, {name} bigint, y double, x double")
+    return make(a, "a_id"), make(b, "b_id")
+
+
+def test_frames_of_any_size_take_the_same_pairs(spark):
+    a, b = tied_frames(spark)
+    rules = {"global": lambda n: matching.match_global(a, b, 30.0, max_pairs=n), "gated": lambda n: matching.match_gated(a, b, 1.5, "a_id", "b_id", max_pairs=n),
+             "greedy": lambda n: matching.match_greedy(a, b, 1.5, max_pairs=n)}
+    for name, rule in rules.items():
+        whole, cut = ({(r.t, r.a_id, r.b_id) for r in rule(n).collect()} for n in (10 ** 12, 0))
+        assert whole == cut and whole, name
+
+
+def test_orphans_against_all_ways_to_fill_the_room(spark):
+    rng = random.Random(21)
+    orphans, prev, used = [], [], []
+    for t in range(30):
+        grid = t % 2 == 0  # ties on every other frame
+        place = (lambda: (float(rng.randrange(3)), float(rng.randrange(3)))) if grid else (lambda: (rng.uniform(0, 9), rng.uniform(0, 9)))
+        orphans += [("s", t, k, *place()) for k in range(rng.randint(0, 4))]
+        for k in range(rng.randint(0, 3)):
+            prev.append(("s", t, k, *place()))
+            used += [("s", t, k)] * rng.randint(0, 3)
+    frame = "sample_id string, t int, {} bigint, y double, x double"
+    dfs = spark.createDataFrame(orphans, frame.format("b_id")), spark.createDataFrame(prev, frame.format("a_id")), spark.createDataFrame(used, "sample_id string, t int, a_id bigint")
+    for n in (matching.MAX_PAIRS, 0):
+        got = matching.attach_orphans(*dfs, 1e9, max_pairs=n).collect()
+        for t in range(30):
+            os, ps = [r[3:] for r in orphans if r[1] == t], [r[3:] for r in prev if r[1] == t]
+            rooms = [k for k in range(len(ps)) for _ in range(max(0, 2 - sum(u[1] == t and u[2] == k for u in used)))]
+            want = {(rooms[j], i) for i, j in least_in_order(os, [ps[k] for k in rooms])} if os and rooms else set()
+            assert {(r.a_id, r.b_id) for r in got if r.t == t} == want, (t, n)
+
+
+def test_sweep_counts_samples_in_which_a_setting_finds_nothing(spark):
+    gt = spark.createDataFrame([("a", 0, 1, 0.0, 0.0), ("b", 0, 1, 0.0, 0.0), ("b\u0001x", 0, 1, 5.0, 0.0)], "sample_id string, t int, gt_id bigint, y double, x double")
+    det = spark.createDataFrame([("a", 0, 1, 0.0, 0.0, "p1"), ("b", 0, 1, 0.0, 1.0, "p1"), ("a", 0, 1, 0.0, 0.0, "p2"), ("b\u0001x", 0, 1, 5.0, 0.0, None)],
+                                "sample_id string, t int, idx bigint, y double, x double, setting string")
+    got = {r.setting: (r.n_gt, r.matches, r.recall, r.mean_detections) for r in audits.parameter_sweep(det, gt, ["setting"]).collect()}
+    assert got == {"p1": (3, 2, pytest.approx(2 / 3), pytest.approx(2 / 3)), "p2": (3, 1, pytest.approx(1 / 3), pytest.approx(1 / 3)), None: (3, 1, pytest.approx(1 / 3), pytest.approx(1 / 3))}
 
 
 def test_kernel_larger_frames_agree_with_row_by_row_costs(monkeypatch):
