@@ -50,7 +50,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     # explode_outer: plain explode would add a filter that repeats the hashing inside its own lambda
     raw = docs.select(found).select(F.explode_outer(grams).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.lit(0).cast("long").alias("good"))
     likely = docs.where(may_hold(bitmap(trusted, "doc_id"), "doc_id"))
-    listed = likely.select("doc_id", found).select("doc_id", grams.cast("array<smallint>").alias("_g")).join(trusted, "doc_id")
+    listed = likely.select("doc_id", found).select("doc_id", grams.cast("array<smallint>").alias("_g")).join(trusted.hint("merge"), "doc_id")  # one plan at every size: ids are never sent to all tasks
     good = listed.select(F.explode_outer("_g").alias("bucket")).groupBy("bucket").agg(F.lit(0).cast("long").alias("raw"), F.count(F.lit(1)).alias("good"))
     counts = raw.unionByName(good.withColumn("bucket", F.col("bucket").cast("long"))).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     spark = docs.sparkSession
