@@ -15,6 +15,7 @@ without a learnable row gives `und` throughout; repeated rows are predicted one
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,9 @@ BUCKETS = 4096
 ROWS_PER_LANGUAGE, FIT_CHARS, MAX_LANGUAGES = 800, 20_000, 200
 AMBIGUOUS = 0.6
 _STEPS, _RATE, _DECAY = 250, 0.5, 1e-4
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# \w takes numerals like a raised two or a Roman eight, which are no letters
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:

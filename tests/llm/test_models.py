@@ -30,6 +30,16 @@ def test_language_held_out(spark):
     assert L.training_rows(docs.limit(0), fold("doc_id", 4) != 2) == []
 
 
+def test_only_letters_count():
+    from cellgraph.llm import language_codes as C
+
+    for text in ("²", "½ ①", "Ⅷ", "12_3", "", None, "!?\u0661", "🙂"):
+        assert C.features(text) is None
+    for text in ("é", "x²y", "一", "ß1"):
+        plain = "".join(c if c.isalpha() else " " for c in text.lower())
+        assert C.letters(text).tolist() == [ord(c) for c in f" {' '.join(plain.split())} "] and C.features(text) is not None
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 25):
         c = L.codewords(n)
