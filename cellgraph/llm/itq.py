@@ -4,14 +4,17 @@ A rotation is learnt on a bounded sample (SAMPLE_ROWS vectors, the smallest by h
 vectors make balanced binary codes. Every vector is coded under ROTATIONS such rotations (different starts). From each code several
 tables take a key of equally many bits; a vector is listed once per table and looked up under its key and all that differ from it in one bit. The width of
 every key follows log2 of the number of vectors, so a list keeps a bounded expected length as the corpus grows (codes have no more bits than vectors have
-dimensions, so shorter vectors than that have longer lists). Wide keys meet less often; tables are added until trial pairs at the threshold meet. Candidates
-whose whole codes are farther apart than MAX_DISTANCE are dropped before they are moved; the rest are compared by
-cosine in double precision. Recall against all pairs is measured in the tests (0.9 is asked; see README).
+dimensions, so shorter vectors than that have longer lists). Wide keys meet less often; tables are added until trial pairs at the threshold meet, and where
+MAX_TABLES do not reach that, keys get narrower until they do (at one bit all vectors meet, so some width always does). Candidates whose whole codes are farther
+apart than any trial pair's are dropped before they are moved; the rest are compared by cosine in double precision. Vectors that are hard to tell apart by
+signs, say because they share a large mean, so cost more comparisons, not links. Recall against all pairs is measured in the tests (0.9 is asked; see README).
+
+Vectors of different lengths have no cosine: every length that two vectors have is searched by itself, with its own rotations, one search after the other.
 
 Equal vectors are collapsed first: copies cost one row, and count in the links of their class.
 
-Nulls and odd rows: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components link with nothing
-and are their own component; a null vec_id takes part and is never the smallest of a component; repeated rows (same vec_id and vector) are
+Nulls and odd rows: vectors that are null, empty, zero, or that hold null or non-finite components link with nothing and are their own component;
+very large and very small components are scaled by a power of two first, so norms neither overflow nor vanish; a null vec_id takes part and is never the smallest of a component; repeated rows (same vec_id and vector) are
 different rows that link with each other; other columns are ignored.
 """
 
@@ -31,15 +34,23 @@ SIMILAR = 0.95
 #: Vectors the rotations are learnt on, at most.
 SAMPLE_ROWS = 20_000
 ROTATIONS, ROUNDS, BITS = 3, 40, 64
-#: Hamming distance (of BITS) beyond which a candidate is not compared; at cosine 0.95 the expected one is about 6.5.
-MAX_DISTANCE = 20
-#: Share of TRIALS pairs at the threshold that must meet in a table, and a bound on tables a rotation (vectors that never turn apart need few).
+#: Share of trial pairs at the threshold that must meet in a table, trial pairs of each kind, and tables a rotation before keys get narrower.
 MEETING, TRIALS, MAX_TABLES = 0.99, 2000, 64
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: the same directions to the bit, with norms near one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def learn(sample: np.ndarray, bits: int = BITS, rotations: int = ROTATIONS, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
     """Mean and projections (dim x bits): principal axes of unit vectors turned by iterative quantisation."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = _units(sample)
     mean = unit.mean(0)
     x = unit - mean
     _, axes = np.linalg.eigh(x.T @ x)
@@ -68,24 +79,43 @@ def key_bits(bits: int, width: int, seed: int) -> Iterator[list[int]]:
         yield own
 
 
-def tables(sample: np.ndarray, mean: np.ndarray, turns: list[np.ndarray], width: int, threshold: float) -> list[list[list[int]]]:
-    """key_bits of the tables of every rotation: as many as use every bit, and more until trial pairs meet often enough.
+def trials(sample: np.ndarray, mean: np.ndarray, turns: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """Which bits differ (pairs x bits, per rotation) between vectors of the sample and others at the threshold from them.
 
-    Trial pairs are vectors of the sample and others at the threshold from them in a random direction.
+    Half of the others lie in a random direction, half in the direction of another vector of the sample, as vectors of one cluster do.
     """
-    bits = turns[0].shape[1]
-    u = (sample / np.linalg.norm(sample, axis=1, keepdims=True))[:TRIALS]
-    away = np.random.default_rng(3).normal(size=u.shape)
+    rng, u = np.random.default_rng(3), _units(sample)
+    u = u[rng.permutation(len(u))[:TRIALS]]
+    away = np.concatenate([rng.normal(size=u.shape), np.roll(u, 1, 0) - u])
+    u = np.concatenate([u, u])
     away -= (away * u).sum(1, keepdims=True) * u
+    # vectors of one dimension, and parallel ones, have no other direction
     v = threshold * u + math.sqrt(max(0.0, 1 - threshold ** 2)) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-    # vectors of one dimension have no other direction
-    apart = [((u - mean) @ turn >= 0) != ((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - mean) @ turn >= 0) for turn in turns]
-    near = np.all([a.sum(1) <= MAX_DISTANCE for a in apart], 0)
-    met, makers, out = ~near, [key_bits(bits, width, 11 + r) for r in range(len(turns))], [[] for _ in turns]
-    while len(out[0]) < MAX_TABLES and (len(out[0]) * width < bits or met[near].sum() < MEETING * near.sum()):
-        for own, maker, a in zip(out, makers, apart):
-            own.append(next(maker))
-            met |= a[:, own[-1]].sum(1) <= 1
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return [((u - mean) @ turn >= 0) != ((v - mean) @ turn >= 0) for turn in turns]
+
+
+def reach(apart: list[np.ndarray]) -> list[int]:
+    """Per rotation, the largest distance of whole codes that a trial pair has: farther candidates are not compared."""
+    return [int(a.sum(1).max()) for a in apart]
+
+
+def tables(apart: list[np.ndarray], width: int) -> list[list[list[int]]]:
+    """key_bits of the tables of every rotation: as many as use every bit, and more until MEETING of the trial pairs of each kind meet.
+
+    Keys have `width` bits, or fewer where MAX_TABLES of them do not suffice.
+    """
+    pairs, bits = apart[0].shape
+    for narrow in range(width, 0, -1):
+        met, makers, out = np.zeros(pairs, bool), [key_bits(bits, narrow, 11 + r) for r in range(len(apart))], [[] for _ in apart]
+        reached = False
+        while len(out[0]) < MAX_TABLES and not (reached and len(out[0]) * narrow >= bits):
+            for own, maker, a in zip(out, makers, apart):
+                own.append(next(maker))
+                met |= a[:, own[-1]].sum(1) <= 1
+            reached = min(met[:pairs // 2].mean(), met[pairs // 2:].mean()) >= MEETING
+        if reached:
+            break
     return out
 
 
@@ -99,8 +129,7 @@ def _codes(batches: Iterator[pa.RecordBatch], mean: np.ndarray, turns: list[np.n
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_numpy(zero_copy_only=False)])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) - mean
+        x = _units(np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_numpy(zero_copy_only=False)])) - mean
         codes, keys = [], []
         for turn, own in zip(turns, places):
             bits = np.zeros((len(x), BITS), np.uint8)
@@ -124,7 +153,7 @@ def _cosines(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.stack([np.asarray(v, np.float64) for v in batch.column(k).to_numpy(zero_copy_only=False)]) for k in (2, 3))
+        x, y = (scaled(np.stack([np.asarray(v, np.float64) for v in batch.column(k).to_numpy(zero_copy_only=False)])) for k in (2, 3))
         cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
         keep = pa.array(cosine >= threshold)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(cosine).filter(keep)], ["a", "b", "cosine"])
@@ -137,16 +166,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = SIMILAR, sample_rows:
     """
     kind = dict(vectors.dtypes)["vec_id"]
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    good = rows.where(_valid("x"))
-    sizes = good.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = sizes["d"] if sizes else 0
-    seen = rows.withColumn("ok", _valid("x") & (F.size("x") == dims)).withColumn("x", F.when(F.col("ok"), F.transform("x", lambda v: v + F.lit(0.0))))
+    seen = rows.withColumn("ok", _valid("x")).withColumn("x", F.when(F.col("ok"), F.transform("x", lambda v: v + F.lit(0.0))))
     keyed = cut_lineage(seen.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))), 256))))
     classes = cut_lineage(keyed.where("ok").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
                           .withColumn("v", F.monotonically_increasing_id()))
-    n = classes.count()
-    sample = [r["x"] for r in hashed_sample(classes, sample_rows, "key").select("x").collect()] if n else []
-    links = cut_lineage(_search(classes, np.array(sample), n, threshold)) if n > 1 else vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
+    links = vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
+    for size in classes.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("d").collect():
+        alike = classes.where(F.size("x") == size["d"])
+        sample = np.array([r["x"] for r in hashed_sample(alike, sample_rows, "key").select("x").collect()])
+        links = links.unionByName(cut_lineage(_search(alike, sample, size["n"], threshold)))
     parts = smallest_reachable(links, "a", "b").select(F.col("node").alias("v"), "component")
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(classes.select(F.col("v").alias("b"), "copies"), "b").groupBy(F.col("a").alias("v")).agg(F.sum("copies").alias("others"))
@@ -162,16 +190,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = SIMILAR, sample_rows:
 
 def _search(classes: DataFrame, sample: np.ndarray, n: int, threshold: float) -> DataFrame:
     mean, turns = learn(sample)
-    bits = turns[0].shape[1]
-    width = max(1, min(bits, 30, round(math.log2(max(n, 2)))))
-    places = tables(sample, mean, turns, width, threshold)
+    trial = trials(sample, mean, turns, threshold)
+    places = tables(trial, max(1, min(turns[0].shape[1], 30, round(math.log2(max(n, 2))))))
+    width = len(places[0][0])
     codes = cut_lineage(classes.select("v", "x").mapInArrow(lambda it: _codes(it, mean, turns, places), "v bigint, codes array<bigint>, keys array<bigint>"))
     listed = _lists(codes, width, probe=False)
     asked = _lists(codes, width, probe=True).select("table", "key", F.col("v").alias("w"), F.col("codes").alias("others"))
     apart = lambda r: F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("others", F.lit(r))))
     pairs = listed.join(asked, ["table", "key"]).where(F.col("v") < F.col("w"))
-    for r in range(ROTATIONS):
-        pairs = pairs.where(apart(r) <= MAX_DISTANCE)
+    for r, limit in enumerate(reach(trial)):
+        pairs = pairs.where(apart(r) <= limit)
     pairs = pairs.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
     left, right = classes.select(F.col("v").alias("a"), F.col("x").alias("xa")), classes.select(F.col("v").alias("b"), F.col("x").alias("xb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb")

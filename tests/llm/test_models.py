@@ -193,7 +193,7 @@ def test_embedding_lists_stay_short_and_pairs_meet(width):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 64))
     mean, turns = itq.learn(x)
-    places = itq.tables(x, mean, turns, width, 0.95)
+    places = itq.tables(itq.trials(x, mean, turns, 0.95), width)
     assert all(len(set(at)) == width for own in places for at in own)
     assert all(set().union(*own) == set(range(64)) for own in places)
     u = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True)
@@ -212,8 +212,40 @@ def test_embedding_candidates_per_vector(spark, monkeypatch):
     """4,096 vectors (keys of 12 bits, and 64 is no multiple): pairs that meet are counted before their distance is looked at."""
     x = np.random.default_rng(4).normal(size=(4096, 64))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v bigint, x array<double>")
-    monkeypatch.setattr(itq, "MAX_DISTANCE", 64)
-    made = itq.tables
-    monkeypatch.setattr(itq, "tables", lambda sample, mean, turns, width, _: made(sample, mean, turns, width, 0.95))  # -1.0: every pair is returned
+    made = itq.trials
+    monkeypatch.setattr(itq, "trials", lambda sample, mean, turns, _: made(sample, mean, turns, 0.95))  # -1.0: every pair is returned
+    monkeypatch.setattr(itq, "reach", lambda apart: [64] * len(apart))
     pairs = itq._search(df, x, len(x), -1.0).count()
     assert pairs < 200 * len(x)
+
+
+def _alike(x):
+    """For each vector, how many others have a cosine of at least 0.95 with it, by all pairs."""
+    u = itq.scaled(x)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    return ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+def test_embeddings_that_share_a_mean_or_a_plane(spark):
+    """Vectors that signs tell apart badly: random pairs at cosine 0.92 and 0.93, and clusters inside a plane of few dimensions."""
+    rng = np.random.default_rng(5)
+    for share in (0.92, 0.93):
+        x = share ** 0.5 * np.eye(1, 64) + (1 - share) ** 0.5 * rng.normal(size=(700, 64)) / 8
+        got = itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"))[0].collect()
+        true = _alike(x)
+        assert sum(true) > 300 and all(r.n_links <= true[r.vec_id] for r in got)
+        assert sum(r.n_links for r in got) >= 0.9 * sum(true), share
+    x = rng.normal(size=(60, 6))[rng.integers(0, 60, 700)] @ rng.normal(size=(6, 64)) + 0.4 * rng.normal(size=(700, 64))
+    got = itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"))[0].collect()
+    assert sum(r.n_links for r in got) >= 0.9 * sum(_alike(x)) > 0
+
+
+def test_embeddings_of_all_lengths_and_sizes_of_components(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 5))
+    rows = [(i, (v * f).tolist()) for i, (v, f) in enumerate((v, f) for v in base for f in (1.0, 1e200, 1e-200))]
+    rows += [(1000, [1.0, 1.0]), (1001, [1.0, 1.0]), (1002, [1.0, -1.0]), (1003, [3.0]), (1004, [2.0]), (1005, [-1.0]), (1006, [1.0] * 9)]
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))[0].collect()}
+    true = _alike(np.array([v for _, v in rows[:120]]))
+    assert [got[i].n_links for i in range(120)] == true and min(true) >= 2
+    assert [(got[i].n_links, got[i].component_id) for i in range(1000, 1007)] == [(1, 1000), (1, 1000), (0, 1002), (1, 1003), (1, 1003), (0, 1005), (0, 1006)]
