@@ -5,8 +5,9 @@ letters one blank) is trained to predict it. A text's bits are decoded to the co
 weighted by how well that bit did on held-back training texts. The score compares the two best codewords, and texts whose score
 is below AMBIGUOUS are flagged.
 
-Fitting uses a bounded sample (ROWS_PER_LANGUAGE texts a language, the smallest by hash; texts above FIT_CHARS characters are not drawn);
-prediction reads every text whole, in tasks, without a shuffle.
+Every language is learnt. Fitting uses a bounded sample: ROWS_PER_LANGUAGE texts a language, the smallest by hash, or as many fewer as keep all languages
+together at TOTAL_ROWS (but LEAST_ROWS each). Texts above FIT_CHARS characters are drawn only where a language has no others, LEAST_ROWS of them. Features are held
+as 32-bit floats and read in blocks, so TOTAL_ROWS bounds the driver's memory. Prediction reads every text whole, in tasks, without a shuffle.
 
 Nulls and odd rows: a null text, or one without a letter, is `und` with score 0.0 and ambiguous; rows with null lang are never learnt from; a corpus
 without a learnable row gives `und` throughout; repeated rows are predicted one by one; other columns are kept (lang_pred, score and ambiguous are replaced).
@@ -27,9 +28,9 @@ from .common import text_of
 
 UNKNOWN = "und"
 BUCKETS = 4096
-ROWS_PER_LANGUAGE, FIT_CHARS, MAX_LANGUAGES = 800, 20_000, 200
+ROWS_PER_LANGUAGE, TOTAL_ROWS, LEAST_ROWS, FIT_CHARS = 800, 16_000, 5, 20_000
 AMBIGUOUS = 0.6
-_STEPS, _RATE, _DECAY = 250, 0.5, 1e-4
+_STEPS, _RATE, _DECAY, _BLOCK = 250, 0.5, 1e-4, 4000
 # \w takes numerals like a raised two or a Roman eight, which are no letters
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
 _NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
@@ -47,7 +48,9 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     for _ in range(50):
         m = rng.choice([-1.0, 1.0], (n, bits))
         m[0, np.abs(m.sum(0)) == n] *= -1
-        far = min(int((m[i] != m[j]).sum()) for i in range(n) for j in range(i))
+        alike = m @ m.T
+        np.fill_diagonal(alike, -bits)
+        far = int(bits - alike.max()) // 2
         if far > apart:
             best, apart = m, far
     return best
@@ -94,12 +97,17 @@ class Model:
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
     """Model from (text, lang) rows; texts without a letter are passed over."""
-    made = [(f, lang) for text, lang in rows if (f := features(text)) is not None]
-    if not made:
+    x, named = np.empty((len(rows), BUCKETS), np.float32), []
+    for text, lang in rows:
+        if (f := features(text)) is not None:
+            x[len(named)] = f
+            named.append(lang)
+    if not named:
         return None
-    languages = sorted({lang for _, lang in made})
+    languages = sorted(set(named))
     codes = codewords(len(languages))
-    x, y = np.stack([f for f, _ in made]), np.array([languages.index(lang) for _, lang in made])
+    number = {lang: k for k, lang in enumerate(languages)}
+    x, y = x[:len(named)], np.array([number[lang] for lang in named])
     held = np.arange(len(x)) % 5 == 4
     target = codes[y]
     # class sizes differ: every language weighs the same
@@ -108,9 +116,12 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     w, b = np.zeros((BUCKETS, codes.shape[1])), np.zeros(codes.shape[1])
     grow, grow_b = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     a, t = x[~held], target[~held]
-    for _ in range(_STEPS):  # logistic loss, one adaptive full-batch step each
-        slope = -t / (1 + np.exp(np.clip(t * (a @ w + b), -30, 30))) * share[:, None]
-        g, gb = a.T @ slope + _DECAY * w / len(languages), slope.sum(0)
+    for _ in range(_STEPS):  # logistic loss, one adaptive full-batch step each; rows are widened a block at a time
+        g, gb = _DECAY * w / len(languages), np.zeros_like(b)
+        for at in range(0, len(a), _BLOCK):
+            own, wanted = a[at:at + _BLOCK].astype(float), t[at:at + _BLOCK]
+            slope = -wanted / (1 + np.exp(np.clip(wanted * (own @ w + b), -30, 30))) * share[at:at + _BLOCK, None]
+            g, gb = g + own.T @ slope, gb + slope.sum(0)
         grow += g * g
         grow_b += gb * gb
         w -= _RATE * g / np.sqrt(grow)
@@ -121,22 +132,27 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
 
 
 def training_rows(docs: DataFrame, learn: Column, per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most per_language (text, lang) rows of each of the MAX_LANGUAGES most frequent languages, the smallest by hash.
+    """(text, lang) rows to fit on, of every language, the smallest by hash; see the module for how many.
 
-    One pass over (lang) counts rows; a second one reads texts, of rows below a hash limit that lets about twice the wanted number through.
+    One pass counts rows of each language; a second one reads texts, of rows below a hash limit that lets about twice the wanted number through.
+    What goes to the tasks is one row per language.
     """
-    fine = docs.where(learn & F.col("lang").isNotNull() & (F.char_length(text_of()) <= FIT_CHARS))
-    counts = docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    out = []
-    limit = F.lit(0.0)
-    for r in counts:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * per_language / r["count"]))).otherwise(limit)
+    short = F.char_length(text_of()) <= FIT_CHARS
+    fine = docs.where(learn & F.col("lang").isNotNull())
+    counts = fine.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("n_short")).collect()
+    if not counts:
+        return []
+    most = max(LEAST_ROWS, min(per_language, TOTAL_ROWS // len(counts)))
+    wanted = {r["lang"]: most if r["n_short"] else LEAST_ROWS for r in counts}
+    draws = [(r["lang"], min(1.0, (2.0 * wanted[r["lang"]] + 20) / (r["n_short"] or r["n"])), not r["n_short"]) for r in counts]
+    limits = docs.sparkSession.createDataFrame(draws, "lang string, cap double, any_length boolean")
     place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 33) / float(2 ** 31)
-    drawn = fine.select("text", "lang", place.alias("place")).where(F.col("place") < limit).orderBy("place").limit(2 * per_language * max(1, len(counts))).collect()
-    taken: dict[str, int] = {}
-    for r in drawn:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_language:
+    drawn = fine.select("text", "lang", place.alias("place"), short.alias("short")).join(F.broadcast(limits), "lang").where("place < cap AND (short OR any_length)")
+    out, taken = [], dict.fromkeys(wanted, 0)
+    at_most = 2 * sum(2 * k + 20 for k in wanted.values())  # twice what is expected
+    for r in drawn.orderBy("place", "lang", F.md5(text_of().cast("binary"))).select("text", "lang").limit(at_most).toLocalIterator():
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= wanted[r["lang"]]:
             out.append((r["text"], r["lang"]))
     return out
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellgraph.llm import itq, language_codes as L, pii_lstm as P, toxicity as T
 from cellgraph.llm.common import fold
@@ -40,6 +41,44 @@ def test_only_letters_count():
         assert C.letters(text).tolist() == [ord(c) for c in f" {' '.join(plain.split())} "] and C.features(text) is not None
 
 
+def test_features_and_decoding_equal_a_plain_version():
+    def plain(text):
+        c = [0x20, *map(ord, " ".join("".join(ch if ch.isalpha() else " " for ch in text.lower()).split())), 0x20]
+        counts = [0] * L.BUCKETS
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x01000193 % 2 ** 32) ^ ((c[i + k] * 0x9E3779B1 + k) % 2 ** 32)
+                counts[((h ^ (h >> 15)) * 0x85EBCA6B) % 2 ** 32 >> 20] += 1
+        return np.sqrt(np.array(counts) / sum(counts))
+
+    for text in ("a", "Das ist 3 mal so viel, oder?", "\u00c9t\u00e9 \u00bd \u65e5\u672c x" * 40):
+        assert np.allclose(L.features(text), plain(text))
+    rng = np.random.default_rng(3)
+    codes = L.codewords(9)
+    model = L.Model(list("abcdefghi"), codes, rng.normal(size=(L.BUCKETS, codes.shape[1])), rng.normal(size=codes.shape[1]), rng.uniform(0.1, 2, codes.shape[1]))
+    x = np.stack([L.features(t) for t in ("one text", "ein Text", "un texte encore")])
+    for row, best, score in zip(x, *model.decode(x)):
+        margin = np.clip(row @ model.weights + model.bias, -8, 8)
+        losses = [sum(t * np.exp(-m * c) for m, c, t in zip(margin, code, model.trust)) / model.trust.sum() for code in codes]
+        first, second = sorted(losses)[:2]
+        assert losses[best] == pytest.approx(first) and score == pytest.approx(1 - first / (first + second))
+
+
+def test_all_languages_are_learnt_from_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(L, "TOTAL_ROWS", 600)
+    rows = [(k * 300 + i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" * 3, f"l{i:03}") for k in range(4) for i in range(300)]
+    rows += [(5000 + k, "long " * 5000, "only-long") for k in range(12)] + [(6000 + k, f"short {k}", "common") for k in range(900)]
+    rows += [(7000 + k, "very " * 5000, "common") for k in range(9)] + [(8000, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("cap", F.lit(1))
+    got = L.training_rows(df, F.lit(True))
+    per = {lang: sum(x == lang for _, x in got) for lang in {x for _, x in got}}
+    assert len(per) == 302 and per["only-long"] == 5 and per["common"] == 5 and {per[f"l{i:03}"] for i in range(300)} == {4}
+    assert not any(lang == "common" and len(text) > L.FIT_CHARS for text, lang in got) and got == L.training_rows(df.repartition(5), F.lit(True))
+    assert L.training_rows(df.limit(0), F.lit(True)) == []
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 25):
         c = L.codewords(n)
