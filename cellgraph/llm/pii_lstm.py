@@ -3,9 +3,11 @@
 Kinds: email, ip, card, phone. The rules (BASE) are leftmost and non-overlapping per kind, in linear time. The network is trained
 in numpy on labelled spans: what the rules find in at most FIT_ROWS documents that hold a digit or an @, and
 written variants of it (no plus sign, dots for blanks, blanks around the @), with look-alikes such as dates and keys as counter-examples. Whole texts are covered by overlapping
-windows; each position takes its tag from the window in whose middle it lies, so spans across windows come out whole.
-Every span must hold a digit or an @, so windows that are farther than a window from either cannot hold one and are not run.
-Added spans must pass the kind's own test, touch no letter or digit and overlap no span of the rules; the rules' spans always stay.
+windows. Windows only give emissions: each position takes the mean of all windows over it, weighted by its distance from their ends, and one CRF
+decoding runs over the whole text, so no seam can break a span.
+Every span must hold a digit or an @, so text farther than a window from either counts as outside and is not run; the rest are stretches,
+each decoded between two positions that are outside.
+Added spans must pass the kind's own test (or else the sure test of an email, ip or card, whose kind they then take), touch no letter or digit and overlap no span of the rules; the rules' spans always stay.
 
 Nulls and odd rows: a null text is empty and has no spans; repeated rows are read one by one; offsets are code points of the whole text;
 other columns are kept (the result's own names replace equal ones); a corpus without any labelled span trains on the written examples alone.
@@ -26,6 +28,8 @@ from .common import hashed_sample
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS, FIT_CHARS = 400, 20_000
 WINDOW, STEP = 96, 48
+_SURE = ("email", "ip", "card")  # kinds whose test tells them from the others
+_TOGETHER = 1 << 18  # positions scored and decoded at once
 _HIDDEN, _ROUNDS, _BATCH, _LENGTH, _RATE = 24, 240, 48, 64, 0.02
 Span = tuple[str, int, int]
 
@@ -156,18 +160,18 @@ class Network:
         left, right = self._run(x, "l", False)[0], self._run(x, "r", False)[0]
         return np.concatenate([left, right], 2) @ self.p["w"] + self.p["b"]
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tag sequence of each window."""
-        a, steps = self.scores(x), (self.p["t"] + _allowed()).astype(np.float32)
+    def decode(self, a: np.ndarray) -> np.ndarray:
+        """Best tags for each row of emissions (rows, length, tags), every row standing between two positions that are outside."""
+        steps = (self.p["t"] + _allowed()).astype(np.float32)
         n, length, _ = a.shape
-        best = a[:, 0] + self.p["s"] + _allowed()[0].astype(np.float32)
+        best = a[:, 0] + steps[0]
         back = np.empty((n, length, TAGS), np.int8)
         for t in range(1, length):
             path = best[:, :, None] + steps
             back[:, t] = path.argmax(1)
             best = path.max(1) + a[:, t]
         tags = np.empty((n, length), np.int8)
-        tags[:, -1] = best.argmax(1)
+        tags[:, -1] = (best + steps[:, 0]).argmax(1)
         rows = np.arange(n)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[rows, t, tags[:, t]]
@@ -338,57 +342,118 @@ def _plausible(kind: str, value: str) -> bool:
     return 10 <= len(digits) <= 15 and bool(re.search(r"[0-9][ ().\-]+[0-9]", value)) and value.count(".") != 3
 
 
+@dataclass
+class _Stretch:
+    """A run of overlapping windows: its text's number, its place there, and where its windows begin."""
+
+    text: int
+    start: int
+    codes: np.ndarray
+    windows: np.ndarray
+
+
+def _stretches(k: int, text: str) -> list[_Stretch]:
+    hints = np.array([m.start() for m in _HINT.finditer(text)], np.int64)
+    if not len(hints):
+        return []
+    # windows begin at multiples of STEP (from -STEP/2); a hint keeps those within a window of it
+    at = np.unique((hints // STEP)[:, None] - np.arange(-1, WINDOW // STEP + 2)[None]) * STEP - STEP // 2
+    at = at[(at < len(text)) & (at + WINDOW > 0)]
+    codes, out = symbols(text), []
+    for run in np.split(at, np.flatnonzero(np.diff(at) > STEP) + 1):
+        start = max(0, int(run[0]))
+        out.append(_Stretch(k, start, codes[start:int(run[-1]) + WINDOW], run - start))
+    return out
+
+
+def _emissions(group: list[_Stretch], net: Network) -> list[np.ndarray]:
+    """Per stretch and position: the mean of the windows over it, weighted by the distance from their ends."""
+    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+    total = [np.zeros((len(g.codes), TAGS), np.float32) for g in group]
+    mass = [np.zeros((len(g.codes), 1), np.float32) for g in group]
+    todo = [(g, int(at)) for g, stretch in enumerate(group) for at in stretch.windows]
+    for b in range(0, len(todo), 256):
+        block = todo[b:b + 256]
+        x = np.full((len(block), WINDOW), 95, np.int64)
+        for row, (g, at) in enumerate(block):
+            part = group[g].codes[max(0, at):at + WINDOW]
+            x[row, max(0, -at):max(0, -at) + len(part)] = part
+        scores = net.scores(x) * weight
+        for row, (g, at) in enumerate(block):
+            a, e = max(0, at), min(len(group[g].codes), at + WINDOW)
+            total[g][a:e] += scores[row, a - at:e - at]
+            mass[g][a:e] += weight[a - at:e - at]
+    return [t / m for t, m in zip(total, mass)]
+
+
+def _tagged(group: list[_Stretch], net: Network) -> list[np.ndarray]:
+    """Tags of every stretch; stretches of about one length are decoded together, shorter ones filled with outside positions."""
+    found, out = _emissions(group, net), [np.empty(0, np.int8)] * len(group)
+    order = sorted(range(len(group)), key=lambda g: len(found[g]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and len(found[order[end]]) * (end + 1 - at) <= _TOGETHER and len(found[order[end]]) <= 2 * len(found[order[at]]):
+            end += 1
+        rows = order[at:end]
+        a = np.full((len(rows), len(found[rows[-1]]), TAGS), _BANNED, np.float32)
+        a[:, :, 0] = 0
+        for row, g in enumerate(rows):
+            a[row, :len(found[g])] = found[g]
+        for row, g in zip(net.decode(a), rows):
+            out[g] = row[:len(found[g])]
+        at = end
+    return out
+
+
 def find_spans(texts: list[str], net: Network) -> list[tuple[list[Span], list[Span]]]:
     """Per text: the rules' spans, and those the network adds."""
     base = [base_spans(t) for t in texts]
-    starts: list[tuple[int, int]] = []
-    coded: dict[int, np.ndarray] = {}
-    for k, text in enumerate(texts):
-        hints = np.array([m.start() for m in _HINT.finditer(text)])
-        if not len(hints):
-            continue
-        coded[k] = symbols(text)
-        # windows begin at multiples of STEP (from -STEP/2); a hint keeps those within a window of it
-        first = np.arange(-1, WINDOW // STEP + 2)
-        for w in np.unique((hints // STEP)[:, None] - first[None]):
-            at = int(w) * STEP - STEP // 2
-            if at < len(text) and at + WINDOW > 0:
-                starts.append((k, at))
-    tags = {k: np.zeros(len(c), np.int8) for k, c in coded.items()}
-    for b in range(0, len(starts), 256):
-        block = starts[b:b + 256]
-        x = np.full((len(block), WINDOW), 95, np.int64)
-        for row, (k, at) in enumerate(block):
-            part = coded[k][max(0, at):at + WINDOW]
-            x[row, max(0, -at):max(0, -at) + len(part)] = part
-        found = net.decode(x)
-        core = (WINDOW - STEP) // 2
-        for row, (k, at) in enumerate(block):  # the middle STEP positions are this window's own
-            a, e = max(0, at + core), min(len(tags[k]), at + core + STEP)
-            if a < e:
-                tags[k][a:e] = found[row, a - at:e - at]
-    return [(base[k], _added(t, tags[k], base[k]) if k in tags else []) for k, t in enumerate(texts)]
+    more: list[list[Span]] = [[] for _ in texts]
 
+    def add(group: list[_Stretch]) -> None:
+        for stretch, tags in zip(group, _tagged(group, net)):
+            end = stretch.start + len(tags)
+            more[stretch.text] += _added(texts[stretch.text], stretch.start, tags, [s for s in base[stretch.text] if s[1] < end and s[2] > stretch.start])
 
-def _added(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
+    group: list[_Stretch] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for stretch in _stretches(k, text):
+            group.append(stretch)
+            size += len(stretch.codes)
+            if size >= _TOGETHER:  # what is held at once is bounded by this and the longest text
+                add(group)
+                group, size = [], 0
+    add(group)
+    return list(zip(base, more))
+
+
+def _added(text: str, start: int, tags: np.ndarray, base: list[Span]) -> list[Span]:
+    """Spans of the tags of text[start:] that pass the tests of their kind; `base` holds the rules' spans there."""
     kinds = (tags + 1) // 2
     begin = (tags % 2 == 1) | (np.concatenate([[0], kinds[:-1]]) != kinds)
-    taken = np.zeros(len(text) + 1, bool)
+    taken = np.zeros(len(tags), bool)
     for _, a, b in base:
-        taken[a:b] = True
+        taken[max(0, a - start):b - start] = True
     out = []
-    for a in np.flatnonzero(begin & (kinds > 0)).tolist():
-        b = a + 1
-        while b < len(text) and kinds[b] == kinds[a] and not begin[b]:
-            b += 1
+    for at in np.flatnonzero(begin & (kinds > 0)).tolist():
+        end = at + 1
+        while end < len(tags) and kinds[end] == kinds[at] and not begin[end]:
+            end += 1
+        kind, a, b = KINDS[kinds[at] - 1], start + at, start + end
         while a < b and not (text[a].isalnum() or text[a] in "(+"):
             a += 1
         while a < b and not text[b - 1].isalnum():
             b -= 1
         whole = not (a and (text[a - 1].isalnum() or text[a - 1] in "@+$#")) and not (b < len(text) and text[b].isalnum())
-        if a < b and whole and not taken[a:b].any() and _plausible(KINDS[kinds[a] - 1], text[a:b]):
-            taken[a:b] = True
-            out.append((KINDS[kinds[a] - 1], a, b))
+        if not (a < b and whole) or taken[a - start:b - start].any():
+            continue
+        # where the value fails its own kind's test but is surely another (phones have no sure test), it is that
+        kind = next((k for k in (kind, *_SURE) if _plausible(k, text[a:b])), None)
+        if kind:
+            taken[a - start:b - start] = True
+            out.append((kind, a, b))
     return out
 
 

@@ -1,5 +1,6 @@
 """Learnt operators: held-out accuracy on the given tables, exact rules against plain patterns, odd rows."""
 
+import itertools
 import random
 import re
 import zlib
@@ -177,6 +178,50 @@ def test_network_gradients():
             assert g[name][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=2e-3)
 
 
+def test_decoding_is_the_best_of_all_paths():
+    """Every tag path is tried, between two outside positions; rows filled up with outside positions decode as without."""
+    rng = np.random.default_rng(8)
+    net = P.Network.fresh()
+    for _ in range(5):
+        net.p["t"] = rng.normal(0, 1, (P.TAGS, P.TAGS)).astype(np.float32)
+        a = rng.normal(0, 2, (3, 4, P.TAGS)).astype(np.float32)
+        steps = net.p["t"] + P._allowed()
+        got = net.decode(a)
+        for row in range(3):
+            worth = lambda path: sum(a[row, k, c] for k, c in enumerate(path)) + sum(steps[b, c] for b, c in zip((0, *path), (*path, 0)))
+            assert tuple(got[row]) == max(itertools.product(range(P.TAGS), repeat=4), key=worth)
+        filled = np.full((3, 7, P.TAGS), P._BANNED, np.float32)
+        filled[:, :, 0] = 0
+        filled[:, :4] = a
+        assert (net.decode(filled)[:, :4] == got).all()
+
+
+def test_windows_are_averaged_over_the_whole_text():
+    """Emissions are the weighted mean of all windows over a position; stretches keep their place whatever runs beside them."""
+    net = P.Network.fresh()
+    text = "abc 12 " + "x" * 120 + " 99 tail"
+    (one,) = P._stretches(0, text)
+    mass, total = np.zeros(len(text)), np.zeros((len(text), P.TAGS))
+    codes = P.symbols(text)
+    for at in range(-3 * P.STEP - P.STEP // 2, len(text), P.STEP):
+        if at + P.WINDOW <= 0:
+            continue
+        x = np.array([[codes[p] if 0 <= p < len(text) else 95 for p in range(at, at + P.WINDOW)]], np.int64)
+        scores = net.scores(x)[0]
+        for k in range(P.WINDOW):
+            if 0 <= at + k < len(text):
+                w = min(k + 1, P.WINDOW - k)
+                total[at + k] += w * scores[k]
+                mass[at + k] += w
+    assert one.start == 0 and len(one.codes) == len(text)
+    assert np.allclose(P._emissions([one], net)[0], total / mass[:, None], atol=1e-4)
+    far = ["y" * 1000 + text, text, "", "no hint", "1" + "z" * 700 + "2"]
+    runs = [r for k, t in enumerate(far) for r in P._stretches(k, t)]
+    assert [r.text for r in runs] == [0, 1, 4, 4] and 1000 - 3 * P.WINDOW <= runs[0].start < 1000 - P.WINDOW
+    together = P._tagged(runs, net)
+    assert all((P._tagged([r], net)[0] == tags).all() for r, tags in zip(runs, together))
+
+
 def test_network_adds_spans_and_leaves_clean_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = P.train(P.training_texts(docs))
@@ -189,7 +234,7 @@ def test_network_adds_spans_and_leaves_clean_text(spark):
             a = text.index(value)
             assert not base
             hits += (kind, a, a + len(value)) in more
-    assert hits >= 13  # of 16 places
+    assert hits == 16
     clean = [filler, "on 2021-03-04 at 12:30 for $12.50, v1.2.3, id 123456789", "", "x" * 5000, "1" * 300]
     assert all(not b and not m for b, m in P.find_spans(clean, net))
     found = P.find_private(odd(spark, "spans"), net).collect()
