@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import Spool, cut_lineage
+from . import forest
 
 
 def find_divisions(edges: DataFrame) -> DataFrame:
@@ -67,44 +68,45 @@ def _flatten(hooks: DataFrame) -> DataFrame:
             return state.drop("moved")
 
 
+#: Positions of a tour in one block: a range of descendants is read block by block.
+TOUR_BLOCK = 4096
+
+
 def descendants(tracks: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:
-    """(sample_id, root, track_id): every track below each root. One join per generation.
+    """(sample_id, root, track_id): every track below each root, by interval labels.
 
-    A track reached before is not followed again, so a table with a cycle (duplicate track rows) ends too.
+    Rounds grow with the logarithm of a tree's size, rows with tracks and answers. Samples that are
+    no forest (a track with two parents, a cycle) are followed a generation at a time instead, each
+    track once.
     """
-    children = tracks.where("parent_track_id IS NOT NULL").select(
-        "sample_id", F.col("parent_track_id").alias("track_id"), F.col("track_id").alias("child"))
-    level = cut_lineage(roots.select("sample_id", F.col("track_id").alias("root"), "track_id").distinct())
-    with_levels = Spool(tracks.sparkSession)
-    if include_self:
-        with_levels.append(level)
-    pair = ["sample_id", "root", "track_id"]
+    links = cut_lineage(forest.links_of(tracks))
+    asked = cut_lineage(roots.select("sample_id", F.col("track_id").alias("root")).distinct())
+    double = links.groupBy("sample_id", "child").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sample_id").distinct()
+    single = links.join(double, "sample_id", "left_anti")
+    nodes = single.select("sample_id", F.col("parent").alias("node")).union(single.select("sample_id", "child")).distinct()
+    labels, looped = forest.intervals(nodes, single)
+    tangled = cut_lineage(double.union(looped).distinct())
+    spans = asked.join(tangled, "sample_id", "left_anti").join(labels.withColumnRenamed("node", "root"), ["sample_id", "root"]).select(
+        "sample_id", "root", "tree", "lo", "hi", F.explode(F.expr(f"sequence(lo div {TOUR_BLOCK}, (hi - 1) div {TOUR_BLOCK})")).alias("block"))
+    places = labels.select("sample_id", "tree", F.expr(f"(hi - 1) div {TOUR_BLOCK}").alias("block"), F.col("node").alias("track_id"), F.col("hi").alias("at"))
+    below = spans.join(places, ["sample_id", "tree", "block"]).where("at > lo AND at < hi").select("sample_id", "root", "track_id")
+    if not tangled.isEmpty():
+        below = below.unionByName(_by_generation(links.join(tangled, "sample_id", "left_semi"), asked.join(tangled, "sample_id", "left_semi")))
+    return below.unionByName(asked.withColumn("track_id", F.col("root"))) if include_self else below
+
+
+def _by_generation(links: DataFrame, asked: DataFrame) -> DataFrame:
+    """As ``descendants`` without the roots themselves, one join per generation; a track reached before is not followed again."""
+    seen = Spool(links.sparkSession)
+    level = asked.withColumn("track_id", F.col("root"))
+    children = links.withColumnRenamed("parent", "track_id")
     while True:
-        step = level.join(children, ["sample_id", "track_id"]).where("child <> root").select(
-            "sample_id", "root", F.col("child").alias("track_id")).distinct()
-        if with_levels.rounds:
-            step = step.join(with_levels.read(), pair, "left_anti")
-        level = with_levels.append(step.select(*pair))
+        step = level.join(children, ["sample_id", "track_id"]).where("child <> root").select("sample_id", "root", F.col("child").alias("track_id")).distinct()
+        if seen.rounds:
+            step = step.join(seen.read(), ["sample_id", "root", "track_id"], "left_anti")
+        level = seen.append(step)
         if level.isEmpty():
-            break
-    return with_levels.read()
-
-
-def ancestors(tracks: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(sample_id, track_id, ancestor, hops) for all pairs, hops >= 1, by doubling the reach."""
-    reach = cut_lineage(tracks.where("parent_track_id IS NOT NULL").select(
-        "sample_id", "track_id", F.col("parent_track_id").alias("ancestor"), F.lit(1).alias("hops")))
-    span = 1
-    for _ in range(max_rounds):
-        ends = reach.where(F.col("hops") == span).select(
-            "sample_id", "track_id", F.col("ancestor").alias("_mid"))
-        onward = reach.select("sample_id", F.col("track_id").alias("_mid"), "ancestor", (F.col("hops") + span).alias("hops"))
-        further = cut_lineage(ends.join(onward, ["sample_id", "_mid"]).select("sample_id", "track_id", "ancestor", "hops"))
-        if further.isEmpty():
-            return reach
-        reach = cut_lineage(reach.unionByName(further))
-        span *= 2
-    raise RuntimeError("the parent column loops")
+            return seen.read()
 
 
 def descendant_nodes(nodes: DataFrame, tracks: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:
@@ -116,37 +118,25 @@ def descendant_nodes(nodes: DataFrame, tracks: DataFrame, roots: DataFrame, incl
 def lineage_layout(tracks: DataFrame) -> DataFrame:
     """Vertical slot of each track: leaves 0, 1, 2... depth first, an inner track at its children's mean.
 
-    Works on the ancestor pairs, not level by level: a leaf's slot is the sum, over itself and
-    its ancestors, of the leaves under earlier siblings; an inner slot is the mean of its leaves,
-    each weighted by the branching between the two.
+    Leaf numbers come from the interval labels, means from contracting the forest, so a chain of any
+    length costs rows in its length. Parents that the table lacks order their children and get no
+    row. A track with two parents or a cycle is an error.
     """
     from .ranking import cumulate
 
-    key = ["sample_id", "track_id"]
-    base = tracks.select(*key, F.col("parent_track_id").alias("parent"))
-    up = ancestors(tracks)
-    branching = base.where("parent IS NOT NULL").groupBy("sample_id", "parent").agg(F.count(F.lit(1)).alias("n_kids"))
-    shaped = base.join(branching.select("sample_id", F.col("parent").alias("track_id"), "n_kids"), key, "left").join(
-        branching.select("sample_id", "parent", F.col("n_kids").alias("n_sib")), ["sample_id", "parent"], "left")
-    pairs = up.select("sample_id", "track_id", "ancestor").unionByName(
-        base.select(*key, F.col("track_id").alias("ancestor")))
-    leaf_pairs = pairs.join(shaped.where("n_kids IS NULL").select(*key), key, "left_semi")
-    n_leaves = leaf_pairs.groupBy("sample_id", F.col("ancestor").alias("track_id")).agg(F.count(F.lit(1)).alias("n_leaves"))
-    sized = cut_lineage(shaped.join(n_leaves, key))
-    before = W.partitionBy("sample_id", "parent").orderBy("track_id").rowsBetween(W.unboundedPreceding, -1)
-    inner = sized.where("parent IS NOT NULL").withColumn("shift", F.coalesce(F.sum("n_leaves").over(before), F.lit(0)))
-    roots = cumulate(sized.where("parent IS NULL"), "track_id", ["n_leaves"], ["sample_id"]).withColumn(
-        "shift", F.col("n_leaves_before"))
-    own = ["sample_id", F.col("track_id").alias("ancestor"), "shift",
-           (-F.log(F.coalesce("n_sib", F.lit(1)).cast("double"))).alias("share")]
-    steps = inner.select(*own).unionByName(roots.select(*own))
-    placed = pairs.join(steps, ["sample_id", "ancestor"]).groupBy(*key).agg(
-        F.sum("shift").alias("start"), F.sum("share").alias("depth_weight"))
-    placed = cut_lineage(placed)
-    leaf = leaf_pairs.join(placed, key)
-    head = placed.select("sample_id", F.col("track_id").alias("ancestor"), F.col("depth_weight").alias("_w"))
-    return leaf.join(head, ["sample_id", "ancestor"]).groupBy("sample_id", F.col("ancestor").alias("track_id")).agg(
-        F.sum(F.col("start") * F.exp(F.col("depth_weight") - F.col("_w"))).alias("slot"))
+    links = cut_lineage(forest.links_of(tracks))
+    own = tracks.select("sample_id", F.col("track_id").alias("node")).distinct()
+    nodes = cut_lineage(own.union(links.select("sample_id", "parent")).distinct())
+    if not links.groupBy("sample_id", "child").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise RuntimeError("a track has two parents")
+    labels, looped = forest.intervals(nodes, links)
+    if not looped.isEmpty():
+        raise RuntimeError("the parent column loops")
+    trees = cumulate(labels.where("node = tree").select("sample_id", "tree", F.col("leaf_hi").alias("n")), "tree", ["n"], ["sample_id"])
+    inner = links.select("sample_id", F.col("parent").alias("node")).distinct()
+    leaves = labels.join(inner, ["sample_id", "node"], "left_anti").join(trees.select("sample_id", "tree", "n", "n_before"), ["sample_id", "tree"]).select(
+        "sample_id", "node", (F.col("n_before") + F.col("n") - F.col("leaf_hi")).cast("double").alias("slot"))
+    return forest.child_means(leaves, links).join(own, ["sample_id", "node"]).select("sample_id", F.col("node").alias("track_id"), "slot")
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:

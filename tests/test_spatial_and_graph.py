@@ -101,3 +101,59 @@ def test_descendants_end_on_a_cycle_below_the_root(spark):
     roots = spark.createDataFrame([("s", 1)], "sample_id string, track_id bigint")
     for own, want in ((True, [1, 2, 3, 4]), (False, [2, 3, 4])):
         assert sorted(r.track_id for r in graph.descendants(tracks, roots, own).collect()) == want
+
+
+def random_forest(rng, sample, n, chain=0):
+    """Rows of a forest with ids in no order, the first `chain` of them one below the other."""
+    ids = rng.sample(range(10 * n), n)
+    return [(sample, v, ids[k - 1] if 0 < k <= chain else rng.choice([None, *ids[:k]]) if k else None) for k, v in enumerate(ids)]
+
+
+def plain_layout(rows):
+    """Slots by recursion over one sample's (track, parent) rows."""
+    kids = {}
+    for v, p in rows:
+        kids.setdefault(p, []).append(v)
+    slot, todo, count = {}, [(v, False) for v in sorted(kids.get(None, []), reverse=True)], 0
+    while todo:
+        v, seen = todo.pop()
+        if v not in kids:
+            slot[v], count = count, count + 1
+        elif seen:
+            slot[v] = sum(slot[c] for c in kids[v]) / len(kids[v])
+        else:
+            todo += [(v, True), *((c, False) for c in sorted(kids[v], reverse=True))]
+    return slot
+
+
+def test_forests_equal_plain_walks(spark):
+    rng = random.Random(12)
+    rows = random_forest(rng, "a", 60) + random_forest(rng, "b", 90, chain=40) + [("c", 5, None)]
+    t = spark.createDataFrame(rows + rows[:7], "sample_id string, track_id bigint, parent_track_id bigint")
+    got = {(r.sample_id, r.track_id): r.slot for r in graph.lineage_layout(t).collect()}
+    want = {(s, v): x for s in "abc" for v, x in plain_layout([r[1:] for r in rows if r[0] == s]).items()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    parent = {r[:2]: r[2] for r in rows}
+    pairs = {(s, v, v) for s, v in parent}
+    for s, v in parent:
+        up = parent[s, v]
+        while up is not None:
+            pairs.add((s, up, v))
+            up = parent[s, up]
+    found = [tuple(r) for r in graph.descendants(t, t.select("sample_id", "track_id")).select("sample_id", "root", "track_id").collect()]
+    assert len(found) == len(pairs) and set(found) == pairs
+    empty = t.limit(0)
+    assert graph.descendants(empty, empty).count() == 0 and graph.lineage_layout(empty).count() == 0
+
+
+def test_odd_forests(spark):
+    make = lambda rows: spark.createDataFrame(rows, "sample_id string, track_id bigint, parent_track_id bigint")
+    # a cycle without a root, a parent that is not in the table, a track that is its own parent, a sample beside them
+    t = make([("a", 1, 2), ("a", 2, 1), ("a", 3, 2), ("b", 7, 99), ("b", 8, 8), ("b", 9, 7)])
+    roots = spark.createDataFrame([("a", 1), ("b", 99), ("b", 8), ("z", 4)], "sample_id string, track_id bigint")
+    got = sorted(tuple(r) for r in graph.descendants(t, roots).select("sample_id", "root", "track_id").collect())
+    assert got == [("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("b", 8, 8), ("b", 99, 7), ("b", 99, 9), ("b", 99, 99), ("z", 4, 4)]
+    assert {r.track_id: r.slot for r in graph.lineage_layout(t.where("sample_id = 'b'")).collect()} == {7: 1, 8: 0, 9: 1}
+    for bad in ([("a", 1, 2), ("a", 2, 1)], [("a", 1, None), ("a", 2, 1), ("a", 3, 1), ("a", 3, 2)]):
+        with pytest.raises(RuntimeError):
+            graph.lineage_layout(make(bad)).collect()
