@@ -1,7 +1,9 @@
-"""What must hold on tables far larger than the test data: no broadcast by guess."""
+"""What must hold on tables far larger than the test data: no broadcast by guess, no one-sided frames in Python."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from cellgraph.operators import matching
 from cellgraph.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,3 +15,34 @@ def test_no_side_is_broadcast_by_its_file_size(spark, name):
     df = catalog.spark_callable(catalog.load_all()[name])(spark, FOLDER)
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def _points(spark, rows):
+    return spark.createDataFrame(rows, "sample_id string, t int, id bigint, y double, x double")
+
+
+def test_frames_without_a_partner_side_are_not_solved(spark):
+    left = _points(spark, [("s", 0, i, float(i), 0.0) for i in range(5)] + [("s", 1, 9, 0.0, 0.0)])
+    right = _points(spark, [("s", 1, 9, 0.0, 1.0)] + [("s", 2, i, float(i), 0.0) for i in range(5)])
+
+    def solve(key, pdf):
+        if pdf["side"].nunique() < 2:
+            raise AssertionError("one-sided frame")
+        return matching._gated_solver(5.0)(key, pdf)
+
+    both = matching._tag(left, 0, "id").unionByName(matching._tag(right, 1, "id"))
+    got = matching._match_frames(both, solve, 1000, lambda big: big)
+    assert [tuple(r) for r in got.collect()] == [("s", 1, 9, 9, 1.0)]
+
+
+def test_lopsided_frames_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MAX_POINTS", 10)
+    left = _points(spark, [("s", 0, 0, 0.0, 0.0)])
+    right = _points(spark, [("s", 0, i, float(3 * i + 1), 0.0) for i in range(50)])
+    largest = []
+    both = matching._tag(left, 0, "id").unionByName(matching._tag(right, 1, "id"))
+    matching._match_frames(both, matching._gated_solver(5.0), 100, lambda big: largest.append(big.count()) or big.select(
+        "sample_id", "t", F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.col("y").alias("distance")))
+    assert largest == [51]
+    got = matching.match_gated(left, right, 5.0, "id", "id", max_pairs=100)
+    assert [tuple(r)[2:] for r in got.collect()] == [(0, 0, 1.0)]
