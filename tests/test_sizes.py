@@ -46,3 +46,32 @@ def test_lopsided_frames_are_cut(spark, monkeypatch):
     assert largest == [51]
     got = matching.match_gated(left, right, 5.0, "id", "id", max_pairs=100)
     assert [tuple(r)[2:] for r in got.collect()] == [(0, 0, 1.0)]
+
+
+def test_places_are_searched_once_and_copies_get_the_same_answer(spark):
+    import random
+
+    from cellgraph.operators import spatial
+
+    r = random.Random(3)
+    spots = [(r.uniform(0, 900), r.uniform(0, 40)) for _ in range(60)]
+    gt = [("s", 0, i, y, x) for i, (y, x) in enumerate(spots[:8])] + [("s", 0, 8, *spots[0])]
+    many = [(y, x, k) for y, x in spots for k in range(40)]  # every place 40 times
+    cands = [("s", 0, i, y, x) for i, (y, x, _) in enumerate(many)]
+    c, g = _points(spark, cands), _points(spark, gt).withColumnRenamed("id", "gt_id")
+    near = spatial.nearest_in_frame(c, g, key="id")
+    want = {i: min((((y - b) ** 2 + (x - a) ** 2) ** 0.5, j) for _, _, j, b, a in gt) for _, _, i, y, x in cands}
+    got = {row["id"]: (row["distance"], row["gt_id"]) for row in near.collect()}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-9 for i in want)
+    counts = spatial.radius_counts(g, c, (5, 40))
+    for row in counts.collect():
+        _, _, _, b, a = gt[row["gt_id"]]
+        assert row["n_40"] == sum(((y - b) ** 2 + (x - a) ** 2) ** 0.5 <= 40 for _, _, _, y, x in cands)
+    boxes = spatial.gt_in_patch(c, g, key="id", half=16.0)
+    assert {row["id"]: row["n_inside"] for row in boxes.collect()} == {
+        i: sum(y - 16 <= b < y + 16 and x - 16 <= a < x + 16 for _, _, _, b, a in gt) for _, _, i, y, x in cands}
+    # work goes by places: a row given twice comes back twice, with the answer of its place
+    twice = spatial.gt_in_patch(c.union(c), g, key="id", half=16.0)
+    assert sorted(map(tuple, twice.collect()), key=repr) == sorted(2 * list(map(tuple, boxes.collect())), key=repr)
+    assert spatial.nearest_in_frame(c.union(c), g, key="id").count() == 2 * len(cands)
+    assert sorted(map(tuple, spatial.radius_counts(g.union(g), c, (5, 40)).collect())) == sorted(2 * list(map(tuple, counts.collect())))
