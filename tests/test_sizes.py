@@ -75,3 +75,19 @@ def test_places_are_searched_once_and_copies_get_the_same_answer(spark):
     assert sorted(map(tuple, twice.collect()), key=repr) == sorted(2 * list(map(tuple, boxes.collect())), key=repr)
     assert spatial.nearest_in_frame(c.union(c), g, key="id").count() == 2 * len(cands)
     assert sorted(map(tuple, spatial.radius_counts(g.union(g), c, (5, 40)).collect())) == sorted(2 * list(map(tuple, counts.collect())))
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    from cellgraph.plans import classifier
+    from cellgraph.plans.views import Views
+
+    # 20 values of mean 0.0345: a half at the third digit, summed in four orders
+    tax = [0.01, 0.02, 0.07, 0.03, 0.08, 0.01, 0.04, 0.06, 0.0, 0.05, 0.02, 0.03, 0.08, 0.01, 0.07, 0.02, 0.01, 0.04, 0.03, 0.01]
+    assert round(sum(tax) * 100) == 69 and len(tax) == 20
+    rows = [(k, t, 0.01, "2024-01-05") for k, values in enumerate((sorted(tax), sorted(tax)[::-1], tax, tax[::-1])) for t in values]
+    table = spark.createDataFrame(rows, "l_suppkey bigint, l_tax double, l_discount double, d string").selectExpr(
+        "l_suppkey", "l_tax", "l_discount", "'A' AS l_returnflag", "timestamp(d) AS l_shipdate")
+    table.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    v = Views(spark, str(tmp_path))
+    assert {r["val_pr_auc"] for r in classifier._epochs(v).collect()} == {0.035}
+    assert {r["recall"] for r in classifier._run(v, "A", 0).collect()} == {0.0345}
