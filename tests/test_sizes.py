@@ -91,3 +91,14 @@ def test_means_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     v = Views(spark, str(tmp_path))
     assert {r["val_pr_auc"] for r in classifier._epochs(v).collect()} == {0.035}
     assert {r["recall"] for r in classifier._run(v, "A", 0).collect()} == {0.0345}
+
+
+def test_tracks_are_spread_by_their_number(spark, monkeypatch):
+    from cellgraph.plans import views
+
+    whole = views.Views(spark, FOLDER)
+    assert whole.lineage.rdd.getNumPartitions() == 1  # a small table is not shuffled
+    monkeypatch.setattr(views, "TRACKS_PER_TASK", 20)
+    spread = views.Views(spark, FOLDER)
+    assert spread.lineage.rdd.getNumPartitions() == spread.cells.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, spread.lineage.collect()), key=repr) == sorted(map(tuple, whole.lineage.collect()), key=repr)
