@@ -10,6 +10,8 @@ from ..session import ensure_checkpoint_dir
 from ..sources import files as S
 from .catalog import query, r6
 
+RECORDS_PER_FILE = 100_000
+
 
 def _place(v) -> str:
     return f"{ensure_checkpoint_dir(v.spark)}/files-{uuid.uuid4().hex}"
@@ -36,7 +38,8 @@ def _xml(v):
     spot = F.array(F.struct(F.col("node_id").alias("_ID"), F.col("y").alias("_POSITION_Y"), F.col("x").alias("_POSITION_X")))
     for tag, df in (("SpotsInFrame", v.lineage.select(F.col("t").alias("_frame"), spot.alias("Spot"))),
                     ("Edge", v.lineage_edges.select(F.col("src").alias("_SPOT_SOURCE_ID"), F.col("dst").alias("_SPOT_TARGET_ID")))):
-        df.write.format("xml").option("rootTag", "Model").option("rowTag", tag).save(f"{place}/{tag}")
+        df.write.format("xml").option("rootTag", "Model").option("rowTag", tag).option(
+            "maxRecordsPerFile", RECORDS_PER_FILE).save(f"{place}/{tag}")  # one task reads a whole export
     return S.read_trackmate_xml(v.spark, f"{place}/*")
 
 

@@ -102,3 +102,13 @@ def test_tracks_are_spread_by_their_number(spark, monkeypatch):
     spread = views.Views(spark, FOLDER)
     assert spread.lineage.rdd.getNumPartitions() == spread.cells.rdd.getNumPartitions() == 10
     assert sorted(map(tuple, spread.lineage.collect()), key=repr) == sorted(map(tuple, whole.lineage.collect()), key=repr)
+
+
+def test_exports_are_written_in_bounded_files(spark, monkeypatch):
+    from cellgraph.plans import io, views
+
+    monkeypatch.setattr(io, "RECORDS_PER_FILE", 500, raising=False)
+    v = views.Views(spark, FOLDER)
+    nodes, edges = io._xml(v)
+    assert len(nodes.inputFiles()) >= 7  # 2,000 spots and nearly as many edges
+    assert nodes.count() == 2000 and edges.count() == v.lineage_edges.count()
