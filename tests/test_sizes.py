@@ -112,3 +112,43 @@ def test_exports_are_written_in_bounded_files(spark, monkeypatch):
     nodes, edges = io._xml(v)
     assert len(nodes.inputFiles()) >= 7  # 2,000 spots and nearly as many edges
     assert nodes.count() == 2000 and edges.count() == v.lineage_edges.count()
+
+
+def test_pieces_of_a_bundle_are_solved_together(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from cellgraph.operators.assignment import nearest, pair_up
+
+    r = random.Random(8)
+    rows, want, several = [], set(), 0
+    for piece in range(300):
+        n0, n1 = r.randint(1, 3), r.randint(1, 3)
+        turned = n0 > n1
+        spot = lambda: (float(r.randint(0, 3)), float(r.randint(0, 3)))  # noqa: E731  (a few places: many ties)
+        sides = [[spot() for _ in range(n)] for n in (n0, n1)]
+        na, nb = (9, 5) if turned else (5, 9)
+        rows += [("s", 1, piece, side, 10 * piece + k, y, x, na, nb, 9.0) for side in (0, 1) for k, (y, x) in enumerate(sides[side])]
+        several += min(n0, n1) > 1
+        want |= {(piece, 10 * piece + i, 10 * piece + j) for i, j in zip(*map(np.ndarray.tolist, pair_up(*map(np.array, sides))))}
+    r.shuffle(rows)
+    calls = []
+    whole = matching.assign
+    monkeypatch.setattr(matching, "assign", lambda *a: calls.append(1) or whole(*a))
+    got = matching._solve_pieces(pd.DataFrame(rows, columns="sample_id t piece side id y x na nb radius".split()))
+    assert set(zip(got["piece"], got["a_id"], got["b_id"])) == want and got["settled"].all()
+    assert len(calls) == several  # a piece with one row needs no solver
+    assert nearest(np.zeros(2), np.array([[0, 2.0], [1, 0], [0, 1]])) == (1, 1.0)
+
+    # gated and greedy pieces of one frame that share a bundle make one call
+    frames = []
+
+    def counted(key, pdf):
+        frames.append(key)
+        return matching._gated_solver(5.0)(key, pdf)
+
+    pdf = pd.DataFrame([("s", 1, side, 10 * k + j, 40.0 * k, float(j)) for k in range(50) for side in (0, 1) for j in range(2)],
+                       columns="sample_id t side id y x".split())
+    assert len(matching._each(matching.FRAME, counted)(pdf)) == 100 and frames == [("s", 1)]
