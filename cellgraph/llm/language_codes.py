@@ -15,7 +15,6 @@ without a learnable row gives `und` throughout; repeated rows are predicted one
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,9 +30,9 @@ BUCKETS = 4096
 ROWS_PER_LANGUAGE, TOTAL_ROWS, LEAST_ROWS, FIT_CHARS = 800, 16_000, 5, 20_000
 AMBIGUOUS = 0.6
 _STEPS, _RATE, _DECAY, _BLOCK = 250, 0.5, 1e-4, 4000
-# \w takes numerals like a raised two or a Roman eight, which are no letters
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+# by code point; numerals like a raised two or a Roman eight are no letters
+_IS_LETTER = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+_BLANK = 32
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
@@ -58,8 +57,14 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
 
 def letters(text: str | None) -> np.ndarray:
     """Code points of a text, lower-cased, with one blank for whatever is not a letter, and around it."""
-    plain = _NOT_LETTERS.sub(" ", (text or "").lower())
-    return np.frombuffer(f" {plain.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32) if plain.strip() else np.empty(0, np.uint32)
+    c = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _IS_LETTER[c]
+    if not letter.any():
+        return np.empty(0, np.uint32)
+    first_blank = ~letter
+    first_blank[1:] &= letter[:-1]  # of a run of others only the first stays, as a blank
+    kept = letter | first_blank
+    return np.where(letter, c, np.uint32(_BLANK))[kept]
 
 
 def features(text: str | None) -> np.ndarray | None:

@@ -333,3 +333,22 @@ def test_embeddings_of_all_lengths_and_sizes_of_components(spark):
     true = _alike(np.array([v for _, v in rows[:120]]))
     assert [got[i].n_links for i in range(120)] == true and min(true) >= 2
     assert [(got[i].n_links, got[i].component_id) for i in range(1000, 1007)] == [(1, 1000), (1, 1000), (0, 1002), (1, 1003), (1, 1003), (0, 1005), (0, 1006)]
+
+
+def test_letters_are_found_at_the_same_cost_in_any_text():
+    import time
+
+    from cellgraph.llm import language_codes
+
+    def plain(text):
+        out = ""
+        for c in f" {text.lower()} ":
+            out += c if c.isalpha() else "" if out.endswith(" ") else " "
+        return out if out.strip() else ""
+
+    for text in ("", "7 ²Ⅷ_", "a", "Ab²c  d\n7e_", "İx 一二 3", "\ud800q", "\U00010107z\U00020000"):
+        got = language_codes.letters(text)
+        assert got.tobytes().decode("utf-32-le", "surrogatepass") == plain(text), text
+    started = time.process_time()
+    assert len(language_codes.letters("word and number 12, " * 50_000)) > 800_000
+    assert time.process_time() - started < 0.5  # a pattern that names every numeral took about 2 s
