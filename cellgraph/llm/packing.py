@@ -14,6 +14,7 @@ other columns are ignored. Texts of any length are read whole.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -53,26 +54,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split, self.odd = regex.compile(self.PIECE).findall, regex.compile(self.ODD).search
-        # a point or comma between a letter and a blank is a piece of its own: set apart, words recur more often
-        self.mark = regex.compile(r"(?<=\p{L})(?=[.,](?:\s|$))").sub
+        self.split, self._odd = regex.compile(self.PIECE).findall, re.compile(self.ODD).search
+        # a point or comma between a letter or digit and a blank is a piece of its own: set apart, words recur more often
+        self.mark = re.compile(r"[.,](?=\s|\Z)(?<=[^\W_].)").sub
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def odd(self, text: str) -> bool:
+        if text.isascii():
+            return "<|" in text or any(c in text for c in "\x1C\x1D\x1E\x1F")
+        return self._odd(text) is not None
+
     def _learn(self, words: set[str]) -> None:
         if len(self.words) > _MEMO:  # words still in use come back from the older half
             self.words, self.older = {}, self.words
+        pieces: set[str] = set()
         split: dict[str, list[str]] = {}
         for w in words.difference(self.words):
             known = self.older.get(w)
-            if known is None:
-                split[w] = [w] if w.isalpha() else self.split(w)
-            else:
+            if known is not None:
                 self.words[w] = known
-        new = list({p for ps in split.values() for p in ps}.difference(self.words))
+            elif w.isalpha():
+                pieces.add(w)
+            else:
+                split[w] = self.split(w)
+        new = list(pieces.union(*split.values()).difference(self.words))
         blocks = [new[k:k + 500] for k in range(0, len(new), 500)]
         for block, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
@@ -92,7 +101,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for k in range(0, len(texts), 64):
-            plain = [None if self.odd(t) else self.mark(" ", t.lower()).split() for t in texts[k:k + 64]]
+            plain = [None if self.odd(t) else self.mark(r" \g<0>", t.lower()).split() for t in texts[k:k + 64]]
             self._learn(set().union(*(w for w in plain if w)))
             get = self.words.__getitem__
             for text, w in zip(texts[k:k + 64], plain):

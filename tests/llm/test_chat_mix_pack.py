@@ -168,3 +168,13 @@ def test_pack_documents(spark, monkeypatch):
     total = sum(r.length for r in got)
     assert len(sequences) <= -(-total // 64) + 2
     assert K.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_points_after_digits_are_set_apart_and_ids_stay():
+    from cellgraph.llm import packing
+
+    e = packing.Encoder(packing.default_tokenizer())
+    texts = ["in 12. or 7, end.", "x². y", "no?. ... 3.5 a.b", "é. Ünd, _. 's.", "<|im_end|> 1.", "a\x1db 2,", "\u0251. 4."]
+    assert list(e.encode(texts)) == [e._whole(t) for t in texts]
+    assert "12" in e.words and "12." not in e.words  # one entry for a number, whatever follows it
+    assert [e.odd(t) for t in texts] == [False, False, False, False, True, True, True]
