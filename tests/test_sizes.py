@@ -152,3 +152,30 @@ def test_pieces_of_a_bundle_are_solved_together(spark, monkeypatch):
     pdf = pd.DataFrame([("s", 1, side, 10 * k + j, 40.0 * k, float(j)) for k in range(50) for side in (0, 1) for j in range(2)],
                        columns="sample_id t side id y x".split())
     assert len(matching._each(matching.FRAME, counted)(pdf)) == 100 and frames == [("s", 1)]
+
+
+def test_runs_of_near_ids_are_contracted_where_they_lie(spark, monkeypatch):
+    from cellgraph.operators import graph
+
+    joined = []
+    whole = graph._flatten
+    monkeypatch.setattr(graph, "_flatten", lambda hooks: joined.append(hooks.count()) or whole(hooks))
+    chain = [("s", k, k + 1) for k in range(9000)] + [("t", 7, 7), ("t", 3, None), (None, 1, 2), ("s", 20000, 20001), ("u", 5, 9000000), ("u", 9000000, 70000)]
+    edges = spark.createDataFrame(chain, "sample_id string, src bigint, dst bigint").repartition(8)
+    got = {(r[0], r[1]): r[2] for r in graph.components(edges).collect()}
+    assert got == {**{("s", k): 0 for k in range(9001)}, ("t", 7): 7, ("t", 3): 3, ("t", None): None, (None, 1): 1, (None, 2): 2,
+                   ("s", 20000): 20000, ("s", 20001): 20000, ("u", 5): 5, ("u", 70000): 5, ("u", 9000000): 5}
+    assert sum(joined) < 100  # joins see links between contracted runs, not their nodes
+
+
+def test_chunks_of_edges_become_stars(monkeypatch):
+    import pyarrow as pa
+
+    from cellgraph.operators import graph
+
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 3)
+    rows = [("a", 2, 1), ("b", 2, 1), ("a", 3, 2), ("a", 4, 4), ("a", 9, 3), ("b", 9, 2), ("a", 8, 5)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("sample_id", "u", "v"), r))]) for r in rows]
+    got = [[tuple(r.values()) for r in b.to_pylist()] for b in graph._stars(iter(batches))]
+    assert [sorted(x) for x in got] == [[("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("b", 1, 1), ("b", 2, 1)],
+                                        [("a", 3, 3), ("a", 4, 4), ("a", 9, 3), ("b", 2, 2), ("b", 9, 2)], [("a", 5, 5), ("a", 8, 5)]]
