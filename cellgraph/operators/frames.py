@@ -69,12 +69,17 @@ def local_maxima(pixels: DataFrame, d: int, threshold: float) -> DataFrame:
              .where((F.col("y") >= d) & (F.col("y") < F.col("h") - d) & (F.col("x") >= d) & (F.col("x") < F.col("w") - d))
              .select(*FRAME, "y", "x", "v"))
 
+    # peaks within d of each other are equally bright: only brightness that a frame has twice needs thinning
+    alike = peaks.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*FRAME, "v")))
+
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         yx, v = pdf[["y", "x"]].to_numpy(), pdf["v"].to_numpy()
         return pdf.iloc[_thin(yx, v, d)]
 
-    # a frame holds at most (size / d)^2 peaks plus plateaus
-    return peaks.groupBy(*FRAME).applyInPandas(thin, peaks.schema)
+    # a given number of tasks is not merged into one; a frame holds at most (size / d)^2 peaks plus plateaus
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    twice = alike.where("_n > 1").drop("_n").repartition(tasks, *FRAME)
+    return alike.where("_n = 1").drop("_n").unionByName(twice.groupBy(*FRAME).applyInPandas(thin, peaks.schema))
 
 
 def _thin(yx: np.ndarray, v: np.ndarray, d: int) -> np.ndarray:

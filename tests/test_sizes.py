@@ -179,3 +179,15 @@ def test_chunks_of_edges_become_stars(monkeypatch):
     got = [[tuple(r.values()) for r in b.to_pylist()] for b in graph._stars(iter(batches))]
     assert [sorted(x) for x in got] == [[("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("b", 1, 1), ("b", 2, 1)],
                                         [("a", 3, 3), ("a", 4, 4), ("a", 9, 3), ("b", 2, 2), ("b", 9, 2)], [("a", 5, 5), ("a", 8, 5)]]
+
+
+def test_only_equally_bright_peaks_are_thinned_in_python(spark, monkeypatch):
+    from cellgraph.operators import frames
+
+    # frame 0: two peaks of different brightness; frame 1: a plateau of two pixels and a lone peak
+    spots = {(0, 3, 3): 5.0, (0, 3, 9): 4.0, (1, 3, 3): 5.0, (1, 3, 4): 5.0, (1, 9, 9): 4.0}
+    rows = [("s", t, y, x, spots.get((t, y, x), 0.0)) for t in (0, 1) for y in range(13) for x in range(13)]
+    px = spark.createDataFrame(rows, "sample_id string, t int, y int, x int, v double")
+    assert sorted(tuple(r)[1:4] for r in frames.local_maxima(px, 2, 1.0).collect()) == [(0, 3, 3), (0, 3, 9), (1, 3, 3), (1, 9, 9)]
+    monkeypatch.setattr(frames, "_thin", lambda *a: 1 / 0)
+    assert sorted(tuple(r)[1:4] for r in frames.local_maxima(px.where("t = 0"), 2, 1.0).collect()) == [(0, 3, 3), (0, 3, 9)]
