@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import partial
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,25 +98,49 @@ def find_peaks(image: np.ndarray, sigma: float, threshold: float, d: int, trunca
 
     ``truncate`` drops fractions after each smoothing pass, as integer images do.
     """
+    _, y, x = _stack_peaks(_smooth_stack(image[None], sigma, truncate), np.array([threshold], dtype=float), d)
+    return np.stack([y, x], axis=1)
+
+
+def _smooth_stack(images: np.ndarray, sigma: float, truncate: bool) -> np.ndarray:
     w = np.array(gaussian_weights(sigma)) if sigma > 0 else np.ones(1)
     r = len(w) // 2
-    out = image.astype(np.float64)
-    for axis in (0, 1):
-        pad = [(r, r) if a == axis else (0, 0) for a in (0, 1)]
-        wide = np.pad(out, pad, mode="symmetric")
-        n = image.shape[axis]
-        out = sum(c * (wide[k:k + n] if axis == 0 else wide[:, k:k + n]) for k, c in enumerate(w))
+    out = images.astype(np.float64)
+    for axis in (1, 2):
+        wide = np.pad(out, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+        out = sum(c * part for c, part in zip(w, _shifted(wide, axis, 2 * r + 1)))
         out = np.trunc(out) if truncate else out
-    box = np.pad(out, d, mode="constant", constant_values=-np.inf)
-    box = np.lib.stride_tricks.sliding_window_view(box, 2 * d + 1, axis=0).max(axis=-1)
-    box = np.lib.stride_tricks.sliding_window_view(box, 2 * d + 1, axis=1).max(axis=-1)
-    hit = (out == box) & (out > threshold)
-    inner = np.zeros_like(hit)
-    inner[d:hit.shape[0] - d, d:hit.shape[1] - d] = True
-    yx = np.argwhere(hit & inner)
-    return yx[_thin(yx, out[tuple(yx.T)], d)] if len(yx) else yx
+    return out
+
 
+def _shifted(wide: np.ndarray, axis: int, n: int) -> list[np.ndarray]:
+    size = wide.shape[axis] - n + 1
+    return [wide[:, k:k + size] if axis == 1 else wide[:, :, k:k + size] for k in range(n)]
 
+
+def _stack_peaks(out: np.ndarray, threshold: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frame, y and x of the peaks of a stack of frames, each with its threshold; by frame, brightest first."""
+    box = out
+    for axis in (1, 2):
+        wide = np.pad(box, [(d, d) if a == axis else (0, 0) for a in range(3)], mode="constant", constant_values=-np.inf)
+        box = reduce(np.maximum, _shifted(wide, axis, 2 * d + 1))
+    hit = (out == box) & (out > threshold[:, None, None])
+    inner = np.zeros_like(hit)
+    inner[:, d:hit.shape[1] - d, d:hit.shape[2] - d] = True
+    f, y, x = np.nonzero(hit & inner)
+    v = out[f, y, x]
+    order = np.lexsort((x, y, -v, f))
+    f, y, x, v = f[order], y[order], x[order], v[order]
+    # peaks within d of each other are equally bright
+    keep = np.ones(len(f), dtype=bool)
+    for k in np.unique(f[1:][(f[1:] == f[:-1]) & (v[1:] == v[:-1])]):
+        lo, hi = np.searchsorted(f, [k, k + 1])
+        keep[lo:hi] = False
+        keep[lo + _thin(np.stack([y, x], axis=1)[lo:hi], v[lo:hi], d)] = True
+    return f[keep], y[keep], x[keep]
+
+
+STACK_PIXELS = 1 << 20  # frames of one size are handled together, so many pixels at once
 DETECTED = "sample_id string, t int, sigma double, threshold double, min_distance int, idx int, y double, x double"
 
 
@@ -146,28 +170,38 @@ def detect(frames: DataFrame, sigma=SIGMA, threshold: float | str = THRESHOLD, m
     ``threshold`` may name a column of ``frames``: every frame then has its own (see ``frame_threshold``).
     ``truncate`` treats the images as integers.
 
-    Frames stay on their partition; a parameter grid multiplies rows, so it runs as one job.
+    Frames stay on their partition and are read once for all settings; those of one size are handled as
+    stacks, smoothed once per sigma.
     ``detector(image, sigma, threshold, min_distance) -> N x 2`` replaces the built-in one.
     """
-    settings = grid or [(sigma, threshold, min_distance)]
-    find = detector or partial(find_peaks, truncate=truncate)
+    settings = [(float(s), t, int(d)) for s, t, d in grid or [(sigma, threshold, min_distance)]]
     level = lambda t: F.col(t).cast("double") if isinstance(t, str) else F.lit(float(t))
-    options = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("sigma"), level(t).alias("threshold"),
-                                           F.lit(int(d)).alias("min_distance")) for s, t, d in settings]))
-    rows = frames.select(*FRAME, "height", "width", "pix", options.alias("_o")).select(
-        *FRAME, "height", "width", "pix", "_o.*")
+    rows = frames.select(*FRAME, "height", "width", "pix", *[level(t).alias(f"_t{k}") for k, (_, t, _) in enumerate(settings)])
+
+    def found(images: np.ndarray, levels: list[np.ndarray]):
+        smooth = {}
+        for (s, _, d), own in zip(settings, levels):
+            if detector:
+                each = [np.asarray(detector(image, s, t, d), dtype=float).reshape(-1, 2) for image, t in zip(images, own)]
+                f, yx = np.repeat(np.arange(len(each)), [len(e) for e in each]), np.concatenate(each)
+                yield s, own, d, f, yx[:, 0], yx[:, 1]
+            else:
+                if s not in smooth:
+                    smooth[s] = _smooth_stack(images, s, truncate)
+                yield s, own, d, *_stack_peaks(smooth[s], own, d)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                image = np.asarray(r.pix, dtype=np.float64).reshape(r.height, r.width)
-                yx = np.asarray(find(image, r.sigma, r.threshold, r.min_distance), dtype=float).reshape(-1, 2)
-                out.append(pd.DataFrame({
-                    "sample_id": r.sample_id, "t": r.t, "sigma": r.sigma, "threshold": r.threshold,
-                    "min_distance": r.min_distance, "idx": np.arange(len(yx)), "y": yx[:, 0], "x": yx[:, 1]}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-                columns=["sample_id", "t", "sigma", "threshold", "min_distance", "idx", "y", "x"])
+            for (h, w), same in pdf.groupby(["height", "width"]):
+                step = max(1, STACK_PIXELS // max(1, h * w))
+                for k in range(0, len(same), step):
+                    part = same.iloc[k:k + step]
+                    images = np.array(list(part["pix"]), dtype=np.float64).reshape(len(part), h, w)
+                    levels = [part[f"_t{i}"].to_numpy(dtype=float) for i in range(len(settings))]
+                    for s, own, d, f, y, x in found(images, levels):
+                        yield pd.DataFrame({
+                            "sample_id": part["sample_id"].to_numpy()[f], "t": part["t"].to_numpy()[f], "sigma": s, "threshold": own[f],
+                            "min_distance": d, "idx": np.arange(len(f)) - np.searchsorted(f, f), "y": y.astype(float), "x": x.astype(float)})
 
     return rows.mapInPandas(run, DETECTED)
 

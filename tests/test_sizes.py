@@ -191,3 +191,24 @@ def test_only_equally_bright_peaks_are_thinned_in_python(spark, monkeypatch):
     assert sorted(tuple(r)[1:4] for r in frames.local_maxima(px, 2, 1.0).collect()) == [(0, 3, 3), (0, 3, 9), (1, 3, 3), (1, 9, 9)]
     monkeypatch.setattr(frames, "_thin", lambda *a: 1 / 0)
     assert sorted(tuple(r)[1:4] for r in frames.local_maxima(px.where("t = 0"), 2, 1.0).collect()) == [(0, 3, 3), (0, 3, 9)]
+
+
+def test_a_grid_reads_each_frame_once(spark):
+    import random
+
+    import numpy as np
+
+    from cellgraph.operators import frames
+
+    r = random.Random(5)
+    sizes = [(r.choice([6, 9]), r.choice([7, 9])) for _ in range(40)]
+    images = [[float(r.randint(0, 3)) for _ in range(h * w)] for h, w in sizes]  # many plateaus
+    table = spark.createDataFrame([("s", t, h, w, pix, 0.5 + t % 3) for t, ((h, w), pix) in enumerate(zip(sizes, images))],
+                                  "sample_id string, t int, height int, width int, pix array<double>, own double")
+    grid = [(0.0, 0.5, 2), (0.5, 1.0, 1), (0.5, "own", 3)]
+    found = frames.detect(table, grid=grid)
+    assert "Generate" not in found._jdf.queryExecution().sparkPlan().toString()  # no copy of a frame per setting
+    want = [(t, s, level, d, k, *map(float, yx)) for t, ((h, w), pix) in enumerate(zip(sizes, images)) for s, level, d in grid
+            for level in [0.5 + t % 3 if level == "own" else level]
+            for k, yx in enumerate(frames.find_peaks(np.array(pix).reshape(h, w), s, level, d))]
+    assert sorted(tuple(x)[1:] for x in found.collect()) == sorted(want) and len(want) > 100
