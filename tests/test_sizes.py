@@ -212,3 +212,10 @@ def test_a_grid_reads_each_frame_once(spark):
             for level in [0.5 + t % 3 if level == "own" else level]
             for k, yx in enumerate(frames.find_peaks(np.array(pix).reshape(h, w), s, level, d))]
     assert sorted(tuple(x)[1:] for x in found.collect()) == sorted(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("name", ["cumulative_divisions", "dataset_stats", "divisions_per_frame", "edge_confusion_adjacent", "division_confusion"])
+def test_no_side_of_divisions_is_broadcast_by_its_file_size(spark, name):
+    df = catalog.spark_callable(catalog.load_all()[name])(spark, FOLDER)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" in plan and "BroadcastHashJoin" not in plan
