@@ -219,3 +219,27 @@ def test_no_side_of_divisions_is_broadcast_by_its_file_size(spark, name):
     df = catalog.spark_callable(catalog.load_all()[name])(spark, FOLDER)
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_divisions_are_scored_from_few_passes_over_the_edges(spark):
+    from cellgraph.operators import scoring
+
+    # a fork 1 -> 2 -> (3, 4) found, one that the prediction lacks (11), and one that the truth lacks (21)
+    gt = [(1, 2), (2, 3), (2, 4), (3, 5), (10, 11), (11, 12), (11, 13), (20, 21), (21, 22)]
+    got = [e for e in gt if e != (11, 13)] + [(21, 23)]
+    table = lambda rows: spark.createDataFrame([("s", *e) for e in rows], "sample_id string, src bigint, dst bigint")
+    match = spark.createDataFrame([("s", k, k) for k in range(24)], "sample_id string, pred_id bigint, gt_id bigint")
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(df, total):
+        def rows(batches):
+            for b in batches:
+                total.add(b.num_rows)
+                yield b
+        return df.mapInArrow(rows, df.schema)
+
+    out = scoring.division_confusion(counted(table(got), seen[0]), counted(table(gt), seen[1]), match)
+    assert [tuple(r) for r in out.collect()] == [("s", 1, 1, 1)]
+    assert seen[0].value <= 3 * len(got) and seen[1].value <= 5 * len(gt)
+    copies = scoring.division_confusion(table(got + got), table(gt + gt + gt), match)
+    assert [tuple(r) for r in copies.collect()] == [("s", 1, 1, 1)]
