@@ -144,8 +144,3 @@ def fingerprint(names: DataFrame, ordinal: str, name: str, limit: int = 1_000_00
         raise ValueError(f"a fingerprint covers at most {limit} names")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(ordinal, name))), lambda s: s[name])
     return names.agg(F.sha2(F.concat_ws("\n", F.lit(str(n)), ordered), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
-
-
-def hash_files(spark, path: str) -> DataFrame:
-    """SHA-256 of each file under a path."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

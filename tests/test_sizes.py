@@ -243,3 +243,35 @@ def test_divisions_are_scored_from_few_passes_over_the_edges(spark):
     assert seen[0].value <= 3 * len(got) and seen[1].value <= 5 * len(gt)
     copies = scoring.division_confusion(table(got + got), table(gt + gt + gt), match)
     assert [tuple(r) for r in copies.collect()] == [("s", 1, 1, 1)]
+
+
+def test_large_files_are_hashed_in_stretches(spark, tmp_path, monkeypatch):
+    import hashlib
+    import random
+
+    from cellgraph.operators import digests
+
+    r = random.Random(4)
+    noise = r.randbytes(400_000)
+    files = {
+        "a.parquet": noise, "b.parquet": noise + b"\n", "c.parquet": b"\xef\xbb\xbf" + noise, "d.parquet": b"\xef\xbb\xbf" + noise + b"\n\n",
+        "e.parquet": b"x" * 300_000 + b"\n" + noise,  # a line longer than several stretches
+        "f.parquet": b"\r\n" * 100_000, "g.parquet": b"\n" * 70_000, "h.parquet": b"", "i.parquet": b"\n", "j.parquet": b"\xef\xbb\xbf",
+        "k.parquet": noise[:65536], "l.parquet": noise[:65537], "with space%41+.parquet": noise[::-1], "m.gz": noise, "n.parquet": b"y" * 200_000}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(digests, "STRETCH", 1 << 16)
+    taken = []
+    append = digests.Spool.append
+    monkeypatch.setattr(digests.Spool, "append", lambda self, df: taken.append(1) or append(self, df))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 15)
+    try:
+        got = digests.hash_files(spark, str(tmp_path))
+        rows = sorted(tuple(x) for x in got.collect())
+        whole = spark.read.format("binaryFile").load(str(tmp_path))
+        want = sorted((x["path"], x["length"], hashlib.sha256(x["content"]).hexdigest()) for x in whole.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == want and len(rows) == len(files) - 1  # Spark's readers list no empty file
+    assert len(taken) == 11  # rounds follow the largest file
