@@ -79,21 +79,23 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*names)))).select(*df.columns)
 
 
-def smallest_reachable(edges: DataFrame, src: str, dst: str) -> DataFrame:
+def smallest_reachable(edges: DataFrame, src: str, dst: str, join: str | None = None) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node of its part.
 
     Every round a node takes the smallest label of its neighbours and then the label of its label, and the labels are
-    written once; it ends when no label has changed. Hubs only ever contribute a minimum.
+    written once; it ends when no label has changed. Hubs only ever contribute a minimum. ``join`` is a hint for the joins
+    of a round; without one Spark chooses, by the size of the written files.
     """
+    hinted = lambda df: df.hint(join) if join else df
     ends = edges.select(F.col(src).alias("node"), F.col(dst).alias("other"))
     both = cut_lineage(ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))))
     labels = cut_lineage(both.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("component")))
     while True:
         seen = labels.select(F.col("node").alias("other"), F.col("component").alias("_c"))
-        near = both.join(seen, "other").groupBy("node").agg(F.min("_c").alias("_c"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("_before"), F.least("component", "_c").alias("_to"))
+        near = both.join(hinted(seen), "other").groupBy("node").agg(F.min("_c").alias("_c"))
+        lower = labels.join(hinted(near), "node").select("node", F.col("component").alias("_before"), F.least("component", "_c").alias("_to"))
         onward = lower.select(F.col("node").alias("_to"), F.col("_to").alias("component"))
-        moved = cut_lineage(lower.join(onward, "_to").select("node", "component", (F.col("component") != F.col("_before")).alias("_moved")))
+        moved = cut_lineage(lower.join(hinted(onward), "_to").select("node", "component", (F.col("component") != F.col("_before")).alias("_moved")))
         labels = moved.select("node", "component")
         if moved.where("_moved").isEmpty():
             return labels

@@ -36,6 +36,8 @@ SAMPLE_ROWS = 20_000
 ROTATIONS, ROUNDS, BITS = 3, 40, 64
 #: Share of trial pairs at the threshold that must meet in a table, trial pairs of each kind, and tables a rotation before keys get narrower.
 MEETING, TRIALS, MAX_TABLES = 0.99, 2000, 64
+#: Joins with what a written table of codes, links or labels gives never broadcast: Spark sizes what is exploded from it like the file, and a broadcast passes through the driver.
+JOIN = "merge"
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -175,10 +177,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = SIMILAR, sample_rows:
         alike = classes.where(F.size("x") == size["d"])
         sample = np.array([r["x"] for r in hashed_sample(alike, sample_rows, "key").select("x").collect()])
         links = links.unionByName(cut_lineage(_search(alike, sample, size["n"], threshold)))
-    parts = smallest_reachable(links, "a", "b").select(F.col("node").alias("v"), "component")
+    parts = smallest_reachable(links, "a", "b", JOIN).select(F.col("node").alias("v"), "component")
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(classes.select(F.col("v").alias("b"), "copies"), "b").groupBy(F.col("a").alias("v")).agg(F.sum("copies").alias("others"))
-    placed = classes.drop("x").join(parts, "v", "left").join(degree, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    degree = ends.join(classes.select(F.col("v").alias("b"), "copies").hint(JOIN), "b").groupBy(F.col("a").alias("v")).agg(F.sum("copies").alias("others"))
+    placed = classes.drop("x").join(parts.hint(JOIN), "v", "left").join(degree.hint(JOIN), "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     told = placed.join(least, "component").select("key", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = keyed.select("vec_id", "ok", "key").join(told, "key", "left").select(
@@ -197,10 +199,10 @@ def _search(classes: DataFrame, sample: np.ndarray, n: int, threshold: float) ->
     listed = _lists(codes, width, probe=False)
     asked = _lists(codes, width, probe=True).select("table", "key", F.col("v").alias("w"), F.col("codes").alias("others"))
     apart = lambda r: F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("others", F.lit(r))))
-    pairs = listed.join(asked, ["table", "key"]).where(F.col("v") < F.col("w"))
+    pairs = listed.join(asked.hint(JOIN), ["table", "key"]).where(F.col("v") < F.col("w"))
     for r, limit in enumerate(reach(trial)):
         pairs = pairs.where(apart(r) <= limit)
     pairs = pairs.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
     left, right = classes.select(F.col("v").alias("a"), F.col("x").alias("xa")), classes.select(F.col("v").alias("b"), F.col("x").alias("xb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb")
+    both = pairs.join(left.hint(JOIN), "a").join(right.hint(JOIN), "b").select("a", "b", "xa", "xb")
     return both.mapInArrow(lambda it: _cosines(it, threshold), "a bigint, b bigint, cosine double")

@@ -352,3 +352,18 @@ def test_letters_are_found_at_the_same_cost_in_any_text():
     started = time.process_time()
     assert len(language_codes.letters("word and number 12, " * 50_000)) > 800_000
     assert time.process_time() - started < 0.5  # a pattern that names every numeral took about 2 s
+
+
+def test_embedding_joins_are_never_broadcast(spark):
+    # what is exploded from a small written table is sized like that table
+    x = np.random.default_rng(5).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        pairs = itq._search(df.select(F.col("vec_id").alias("v"), F.col("embedding").alias("x")), x, len(x), 0.5)
+        for out in (pairs, itq.near_duplicates(df)[0]):
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
