@@ -275,3 +275,83 @@ def test_large_files_are_hashed_in_stretches(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert rows == want and len(rows) == len(files) - 1  # Spark's readers list no empty file
     assert len(taken) == 11  # rounds follow the largest file
+
+
+def _some_points(rng, kind, n):
+    if kind == "grid":
+        return rng.integers(0, 60, n) / 2.0
+    if kind == "clump":
+        return rng.normal(0, 0.01, n) + rng.choice([0.0, 50.0], n)
+    return rng.normal(0, 30, n)
+
+
+@pytest.mark.parametrize("kind", ["grid", "clump", "wide"])
+@pytest.mark.parametrize("at_once", [7, 1 << 20])
+def test_tile_searches_equal_all_pairs(monkeypatch, kind, at_once):
+    import numpy as np
+
+    from cellgraph.operators import tiles
+
+    monkeypatch.setattr(tiles, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 30, 60):
+        spots = np.unique(np.stack([_some_points(rng, kind, n), _some_points(rng, kind, n)], 1), axis=0)
+        (y, x), ids, w = spots.T, rng.permutation(len(spots)), rng.integers(1, 4, len(spots))
+        qy, qx = _some_points(rng, kind, 40), _some_points(rng, kind, 40)
+        d = np.sqrt((qy[:, None] - y) ** 2 + (qx[:, None] - x) ** 2)
+        low, at, _ = tiles.nearest(y, x, ids, qy, qx, 8.0)
+        total, one, pick, two = tiles.nearest_in_boxes(y, x, ids, w, qy, qx, 8.0)
+        for i in range(40):
+            order = np.lexsort((ids, d[i]))
+            if len(order) and d[i, order[0]] <= 8:
+                assert (low[i], at[i]) == (d[i, order[0]], order[0])
+            else:
+                assert not low[i] <= 8
+            inside = [k for k in order if qy[i] - 8 <= y[k] < qy[i] + 8 and qx[i] - 8 <= x[k] < qx[i] + 8]
+            twice = [k for k in inside for _ in range(w[k])]
+            assert total[i] == len(twice) and pick[i] == (inside[0] if inside else -1)
+            assert [one[i], two[i]] == [d[i, k] for k in twice[:2]] + [np.inf] * (2 - len(twice[:2]))
+
+
+def test_a_tile_search_does_not_grow_with_the_density(monkeypatch):
+    import numpy as np
+
+    from cellgraph.operators import tiles
+
+    made = []
+    seen = tiles._best
+    monkeypatch.setattr(tiles, "_best", lambda d, *rest: made.append(len(d)) or seen(d, *rest))
+    rng = np.random.default_rng(2)
+    per_query = []
+    for n in (2_000, 32_000):  # the same square, sixteen times as dense; a tenth of the queries lie off it
+        made.clear()
+        y, x, qy, qx = rng.uniform(0, 30, n), rng.uniform(0, 30, n), rng.uniform(0, 30, n), rng.uniform(0, 33, n)
+        tiles.nearest_in_boxes(y, x, np.arange(n), np.ones(n, np.int64), qy, qx, 16.0)
+        per_query.append(sum(made) / n)
+    assert per_query[1] < 2 * per_query[0]
+
+
+def test_crowded_frames_are_searched_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from cellgraph.operators import spatial, tiles
+
+    asked = []
+    whole = tiles.solve_tiles
+    monkeypatch.setattr(tiles, "solve_tiles", lambda places, points, side, halo, solve, out: asked.append((side, halo)) or whole(places, points, side, halo, solve, out))
+    rng = np.random.default_rng(4)
+    spots = [("s", int(k % 2), k, float(y), float(x)) for k, (y, x) in enumerate(rng.integers(0, 200, (300, 2)) / 2)]
+    odd = [("s", 0, 900, float("nan"), 1.0), ("s", 0, 901, None, 1.0), (None, 0, 902, 1.0, 1.0), ("s", 5, 903, 1.0, 1.0)]
+    cands = spark.createDataFrame(spots[::2] + odd, "sample_id string, t int, det_id bigint, y double, x double")
+    gt = spark.createDataFrame(spots[1::2], "sample_id string, t int, gt_id bigint, y double, x double").withColumn("t", 1 - F.col("t"))
+    got = {r["det_id"]: r for r in spatial.gt_in_patch(cands, gt, "det_id").collect()}
+    near = {r["det_id"]: r for r in spatial.nearest_in_frame(cands, gt, "det_id", extent=200.0).collect()}
+    assert asked == [(64.0, 16.0), (128.0, 32.0)] and len(got) == len(near) == 154
+    truth = [(k, y, x) for _, _, k, y, x in spots[1::2]]  # frames 0 and 1 are exchanged, so both sides meet
+    for _, _, k, y, x in spots[::2]:
+        inside = [g for g in truth if y - 16 <= g[1] < y + 16 and x - 16 <= g[2] < x + 16]
+        assert got[k]["n_inside"] == len(inside)
+        least = min((np.sqrt((y - b) ** 2 + (x - a) ** 2), i) for i, b, a in truth)
+        assert (near[k]["distance"], near[k]["gt_id"]) == least
+    for k in (900, 901, 902, 903):
+        assert got[k]["n_inside"] == 0 and got[k]["nearest_inside"] is None and (k in (900, 901) or near[k]["gt_id"] is None)
