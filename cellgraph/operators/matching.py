@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import euclidean
 from ..session import Spool, cut_lineage
-from .assignment import assign, nearest, pair_gated, pair_up, pairs_within
+from .assignment import assign, nearest, pair_gated, pair_up
 from .graph import components
-from .spatial import FRAME, around, cell, near_pairs
+from .spatial import FRAME, around, cell, in_neighbour_cells, near_pairs
+from .tiles import first_come
 
 MAX_PAIRS = 25_000_000  # largest frame (rows x columns) one task solves whole: seconds, linear memory
 MAX_POINTS = 100_000  # largest frame by points, for frames with few on one side
 BUNDLE = 20_000  # points per Python call
+CROWD = 8  # points of one side in a cell, beyond which they are not told apart when a frame is cut for greedy matching
 PAIR_COLUMNS = ["sample_id", "t", "a_id", "b_id", "distance"]
 PAIR_SCHEMA = "sample_id string, t int, a_id bigint, b_id bigint, distance double"
 
@@ -130,13 +132,33 @@ def match_gated(gt: DataFrame, pred: DataFrame, d_max: float = 15.0, gt_id: str
 
 
 def _local_in_pieces(big: DataFrame, reach: float, solve) -> DataFrame:
-    """Rules under which only points within reach interact: solve the connected pieces apart.
-
-    Pieces of one frame that share a bundle are solved in one call, since they do not interact.
-    """
+    """Rules under which only points within reach interact: solve the connected pieces apart."""
     left = big.where("side = 0").select(*FRAME, F.col("id").alias("a_id"), "y", "x")
     right = big.where("side = 1").select(*FRAME, F.col("id").alias("b_id"), F.col("y").alias("gt_y"), F.col("x").alias("gt_x"))
-    pieces = cut_lineage(_pieces(near_pairs(left, right, reach).select(*FRAME, "a_id", "b_id"), big))
+    return _solve_apart(cut_lineage(_pieces(near_pairs(left, right, reach).select(*FRAME, "a_id", "b_id"), big)), solve)
+
+
+def _loose_pieces(big: DataFrame, reach: float) -> DataFrame:
+    """Points with the id of a piece; no two points within reach are in different pieces, but a piece may be several connected ones.
+
+    Points of one side that crowd a cell are one node and meet all around them, so there are a bounded number of pairs per point at any density.
+    """
+    at = big.withColumn("cy", cell("y", reach)).withColumn("cx", cell("x", reach))
+    crowds = at.groupBy(*FRAME, "side", "cy", "cx").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_one")).where(F.col("_n") > CROWD)
+    named = cut_lineage(at.join(crowds, [*FRAME, "side", "cy", "cx"], "left").withColumn("stand", F.coalesce("_one", "id")))
+    alone = F.col("_one").isNull()
+    nodes = named.select(*FRAME, "side", F.col("stand").alias("node"), "cy", "cx", F.when(alone, F.col("y")).alias("y"), F.when(alone, F.col("x")).alias("x")).distinct()
+    side = lambda k: nodes.where(F.col("side") == k).drop("side")
+    there = side(1).withColumn("_o", around(1)).select(*FRAME, (F.col("cy") + F.col("_o.a")).alias("cy"), (F.col("cx") + F.col("_o.b")).alias("cx"),
+                                                       F.col("node").alias("b_id"), F.col("y").alias("gt_y"), F.col("x").alias("gt_x"))
+    # a crowd has no place, and a missing distance counts as near
+    met = side(0).withColumnRenamed("node", "a_id").join(there, [*FRAME, "cy", "cx"]).where(
+        F.coalesce(euclidean("y", "x", "gt_y", "gt_x") <= reach, F.lit(True)))
+    return _pieces(met.select(*FRAME, "a_id", "b_id"), named.drop("cy", "cx", "_n", "_one"), "stand").drop("stand")
+
+
+def _solve_apart(pieces: DataFrame, solve) -> DataFrame:
+    """Pieces of one frame that share a bundle are solved in one call, since they do not interact."""
     single, rest = _lone_pairs(pieces)
     n = pieces.count()
     return single.select(*PAIR_COLUMNS).unionByName(
@@ -161,12 +183,12 @@ def _name(side: str, id_col: str):
     return F.col(id_col) * 2 + F.lit(0 if side == "a" else 1)
 
 
-def _pieces(pairs: DataFrame, points: DataFrame) -> DataFrame:
+def _pieces(pairs: DataFrame, points: DataFrame, name: str = "id") -> DataFrame:
     """Points with the id of their connected piece; points without any pair are their own piece."""
     frame = F.concat_ws("\u0001", "sample_id", F.col("t").cast("string"))
     edges = pairs.select(frame.alias("sample_id"), _name("a", "a_id").alias("src"), _name("b", "b_id").alias("dst"))
     labels = components(edges).withColumnRenamed("sample_id", "_f")
-    named = points.withColumn("_f", frame).withColumn("node", F.col("id") * 2 + F.col("side"))
+    named = points.withColumn("_f", frame).withColumn("node", F.col(name) * 2 + F.col("side"))
     return named.join(labels, ["_f", "node"], "left").withColumn(
         "piece", F.coalesce("component", "node")).drop("_f", "node", "component")
 
@@ -265,24 +287,19 @@ def match_greedy(prev: DataFrame, curr: DataFrame, max_distance: float, a_id: st
                  max_pairs: int = MAX_PAIRS) -> DataFrame:
     """Earlier points, in list order, take the nearest free point within reach (ties: lower index).
 
-    Only points within reach interact, so a crowded frame is cut into connected pieces of the
-    within-reach graph; the order inside a piece is all that matters.
+    Only points within reach interact, so a crowded frame is cut into pieces that are farther apart;
+    the order inside a piece is all that matters. A piece is solved in linear memory, however crowded it is.
     """
     def solve(key, pdf):
         left, right = _split_sides(pdf)
-        a, b, d = pairs_within(left[["y", "x"]].to_numpy(), right[["y", "x"]].to_numpy(), max_distance)
-        order = np.lexsort((b, d, a))
-        free, done = np.ones(len(right), dtype=bool), -1
-        i, j = [], []
-        for row, col in zip(a[order].tolist(), b[order].tolist()):
-            if row != done and free[col]:
-                free[col], done = False, row
-                i.append(row)
-                j.append(col)
-        return _emit(key, left, right, np.array(i, dtype=int), np.array(j, dtype=int), None)
+        i, j = first_come(left[["y", "x"]].to_numpy(), right[["y", "x"]].to_numpy(), max_distance)
+        return _emit(key, left, right, i, j, None)
+
+    def in_pieces(big):
+        return _solve_apart(cut_lineage(_loose_pieces(big, max_distance)), solve)
 
     both = _tag(prev, 0, a_id).unionByName(_tag(curr, 1, b_id))
-    return _match_frames(both, solve, max_pairs, lambda big: _local_in_pieces(big, max_distance, solve))
+    return _match_frames(both, solve, max_pairs, in_pieces)
 
 
 def match_with(prev: DataFrame, curr: DataFrame, match_fn: Callable, a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:

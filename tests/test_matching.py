@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellgraph.operators import audits, lineage, matching
 from cellgraph.operators.assignment import pair_gated, pair_up
@@ -293,3 +294,38 @@ def test_user_matcher_sees_frames_of_any_size(spark):
     det = detections(spark, [[(0, 0), (1, 1)], [(0, 0), (1, 1)]])
     got = matching.link_frames(det, matcher=lambda p, c: [(0, 1)], max_pairs=1).collect()
     assert [(r.prev_idx, r.curr_idx) for r in got] == [(0, 1)]
+
+
+def test_greedy_pieces_of_crowded_and_sparse_points_equal_the_whole_frame(spark, monkeypatch):
+    r = random.Random(8)
+    # a crowd, a thin cloud, points far apart, and copies at one place
+    spots = [(r.uniform(0, 12), r.uniform(0, 12)) for _ in range(150)] + [(r.uniform(50, 90), r.uniform(0, 90)) for _ in range(60)] + [(200.0 + 40 * k, 0.0) for k in range(20)]
+    spots += [(300.0, 300.0)] * 12
+    rows = lambda name, move: spark.createDataFrame([("s", t, i, y + move * r.uniform(-3, 3), x) for t in (0, 1) for i, (y, x) in enumerate(
+        r.sample(spots, len(spots)))], f"sample_id string, t int, {name} bigint, y double, x double")
+    a, b = rows("a_id", 0).cache(), rows("b_id", 1).cache()
+    told = lambda df: sorted(tuple(x)[:4] for x in df.collect())
+    # pairs are no longer made as rows
+    monkeypatch.setattr(matching, "near_pairs", None)
+    whole = told(matching.match_greedy(a, b, 4.0))
+    assert told(matching.match_greedy(a, b, 4.0, max_pairs=0)) == whole and len(whole) > 300
+    for t in (0, 1):
+        points = lambda df, name: sorted((x[name], x["y"], x["x"]) for x in df.where(F.col("t") == t).collect())
+        free, expected = points(b, "b_id"), []
+        for i, y, x in points(a, "a_id"):
+            near = min(((math.sqrt((y - p[1]) ** 2 + (x - p[2]) ** 2), p) for p in free), default=(9, None))
+            if near[0] <= 4.0:
+                expected.append(("s", t, i, near[1][0]))
+                free.remove(near[1])
+        assert [w for w in whole if w[1] == t] == expected
+
+
+def test_greedy_pieces_make_few_pairs_in_a_crowd(spark, monkeypatch):
+    n = 3000
+    points = spark.range(n).select(F.lit("s").alias("sample_id"), F.lit(0).alias("t"), "id", (F.rand(1) * 20).alias("y"), (F.rand(2) * 20).alias("x"))
+    both = matching._tag(points, 0, "id").unionByName(matching._tag(points, 1, "id"))
+    made = []
+    keep = matching._pieces
+    monkeypatch.setattr(matching, "_pieces", lambda pairs, *rest: made.append(pairs.count()) or keep(pairs, *rest))
+    assert matching._loose_pieces(both, 7.0).select("piece").distinct().count() == 1
+    assert made[0] < n  # of millions within reach
