@@ -355,3 +355,20 @@ def test_crowded_frames_are_searched_in_tiles(spark, monkeypatch):
         assert (near[k]["distance"], near[k]["gt_id"]) == least
     for k in (900, 901, 902, 903):
         assert got[k]["n_inside"] == 0 and got[k]["nearest_inside"] is None and (k in (900, 901) or near[k]["gt_id"] is None)
+
+
+@pytest.mark.parametrize("kind", ["grid", "clump", "wide"])
+@pytest.mark.parametrize("at_once", [100, 1 << 20])
+def test_counts_within_radii_equal_all_pairs(monkeypatch, kind, at_once):
+    import numpy as np
+
+    from cellgraph.operators import tiles
+
+    monkeypatch.setattr(tiles, "PAIRS_AT_ONCE", at_once)
+    rng, radii = np.random.default_rng(6), np.array([3.0, 5.0, 7.0, 10.0, 15.0])
+    for n in (1, 2, 30, 400):
+        y, x, w = _some_points(rng, kind, n), _some_points(rng, kind, n), rng.integers(1, 4, n)
+        qy, qx = _some_points(rng, kind, 150), _some_points(rng, kind, 150)
+        d = np.sqrt((qy[:, None] - y) ** 2 + (qx[:, None] - x) ** 2)
+        expected = np.stack([((d <= r) * w).sum(axis=1) for r in radii], 1)
+        assert (tiles.Grid(y, x).within(w, qy, qx, radii) == expected).all()
